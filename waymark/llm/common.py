@@ -162,8 +162,9 @@ def key_bitmap(df: DataFrame, key: str, bits: int = 22) -> np.ndarray:
     cell = F.shiftrightunsigned(F.col(key), 64 - bits)
     words = (
         df.where(F.col(key).isNotNull())
-        .groupBy(F.shiftright(cell, 6).alias("w"))
-        .agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (cell % 64).cast("int"))).alias("v"))
+        .select(F.shiftright(cell, 6).alias("w"), (cell % 64).cast("int").alias("bit"))
+        .groupBy("w")
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("v"))
     )
     out = np.zeros(1 << (bits - 6), dtype=np.int64)
     got = words.toPandas()

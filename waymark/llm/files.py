@@ -23,11 +23,11 @@ def writing(uri: str) -> Iterator:
     folder, _, name = path.rpartition("/")
     files.create_dir(folder, recursive=True)
     own = f"{folder}/.{name}.{uuid.uuid4().hex}"
-    with files.open_output_stream(own) as out:
+    with files.open_output_stream(own, compression=None) as out:
         yield out
     files.move(own, path)
 
 
 def reading(uri: str):
     files, path = _open(uri)
-    return files.open_input_stream(path)
+    return files.open_input_stream(path, compression=None)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from waymark.llm import huffman, mixing, tokens
+from waymark.llm import decontaminate, huffman, mixing, tokens, warc
 
 
 def queries() -> dict:
     return {
+        "op1_decontamination": decontaminate.op1_decontamination,
         "op2_mixing": mixing.op2_mixing,
+        "op3_warc": warc.op3_warc,
         "op8_token_counts": tokens.op8_token_counts,
         "op10_token_ids": huffman.op10_token_ids,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.OP2_SQL}
+    return {"op1_decontamination": decontaminate.OP1_SQL, "op2_mixing": mixing.OP2_SQL, "op3_warc": warc.OP3_SQL}
