@@ -177,10 +177,13 @@ def encode_documents(docs: DataFrame, key: str, path: str, end_id: int) -> DataF
         encoder = Encoder.of(path)
         for batch in rows:
             for a, b, texts in batches(batch, "text"):
-                ids = [np.append(x, np.uint32(end_id)) for x in encoder.encode(texts)]
-                wide = any(int(x.max()) > 0xFFFF for x in ids)
-                data = [x.astype("<u4" if wide else "<u2").tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(data, pa.binary()), pa.array([wide] * len(ids))], ["key", "ids", "wide"])
+                ids, at = encoder.encode(texts)
+                wide = bool(len(ids)) and int(ids.max()) > 0xFFFF or end_id > 0xFFFF
+                kind = "<u4" if wide else "<u2"
+                end, ids = np.array([end_id], dtype=kind).tobytes(), memoryview(ids.astype(kind).tobytes())
+                k = int(kind[2])
+                data = [b"".join((ids[k * x : k * y], end)) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(data, pa.binary()), pa.array([wide] * len(data))], ["key", "ids", "wide"])
 
     return docs.select(key, "text").mapInArrow(run, "key long, ids binary, wide boolean")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waymark.llm import decontaminate, huffman, mixing, quality, tokens, toxicity, warc
+from waymark.llm import decontaminate, huffman, mixing, near, quality, tokens, toxicity, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_decontamination": decontaminate.op1_decontamination,
         "op2_mixing": mixing.op2_mixing,
         "op3_warc": warc.op3_warc,
+        "op4_near_duplicates": near.op4_near_duplicates,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_quality": quality.op6_quality,
         "op8_token_counts": tokens.op8_token_counts,
