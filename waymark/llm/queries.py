@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waymark.llm import decontaminate, huffman, mixing, near, quality, tokens, toxicity, warc
+from waymark.llm import decontaminate, huffman, mixing, near, pii, quality, tokens, toxicity, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_quality": quality.op6_quality,
         "op8_token_counts": tokens.op8_token_counts,
+        "op9_personal_data": pii.op9_personal_data,
         "op10_token_ids": huffman.op10_token_ids,
     }
 
