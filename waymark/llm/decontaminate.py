@@ -141,6 +141,14 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, keys:
     )
 
 
+def without_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` in whose text no window of an item occurs, all columns as they are."""
+    name, text = F.coalesce(F.col(key).cast("string"), F.lit("null")), F.xxhash64(F.coalesce("text", F.lit("")))
+    named = docs.withColumns({"item_key_": name, "item_text_": text})
+    found = contamination(spark, named, items, ["item_key_", "item_text_"]).where("contaminated").select("item_key_", "item_text_").distinct()
+    return named.join(found, ["item_key_", "item_text_"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

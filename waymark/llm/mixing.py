@@ -86,6 +86,26 @@ def thresholds(sized: DataFrame, sources: DataFrame) -> DataFrame:
     return found.select(F.col("source").alias("s_"), F.col("low").alias("threshold"))
 
 
+def plan(spark: SparkSession, sized: DataFrame, max_repeat: int, weights: tuple[int, ...]) -> DataFrame:
+    """mix_source_, source_size, target, and what a source's rows are taken by: times, and once more below threshold."""
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sources = stage(spark, targets(sources, max_repeat, weights), "mix-targets")
+    cuts = stage(spark, thresholds(sized.select("source", "h", "size"), sources), "mix-cuts")
+    times = F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0))
+    return sources.join(cuts, F.col("source").eqNullSafe(F.col("s_")), "left").select(
+        F.col("source").alias("mix_source_"), "source_size", "target", times.alias("mix_times_"), F.coalesce("threshold", F.lit(0).cast("long")).alias("mix_threshold_"),
+    )
+
+
+def copies(h: Column) -> Column:
+    return F.col("mix_times_") + (h < F.col("mix_threshold_")).cast("long")
+
+
+def sizes(spark: SparkSession, docs: DataFrame, key: str) -> DataFrame:
+    sized = docs.select(F.col(key), F.col("source"), word_count(F.col("text")).alias("size"), key_hash(F.col(key)).alias("h"))
+    return stage(spark, sized, "mix-sizes")
+
+
 def mix(spark: SparkSession, docs: DataFrame, key: str = "doc_id", max_repeat: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """``key``, source, size, source_size, target, copies of every row of ``docs``.
 
@@ -95,19 +115,21 @@ def mix(spark: SparkSession, docs: DataFrame, key: str = "doc_id", max_repeat: i
     Rows of one source with equal keys stand or fall together. A null text has
     no words, an empty table gives no rows, and other columns are not read.
     """
-    sized = docs.select(F.col(key), F.col("source"), word_count(F.col("text")).alias("size"), key_hash(F.col(key)).alias("h"))
-    sized = stage(spark, sized, "mix-sizes")
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    sources = stage(spark, targets(sources, max_repeat, weights), "mix-targets")
-    cuts = stage(spark, thresholds(sized.select("source", "h", "size"), sources), "mix-cuts")
-    plan = sources.join(cuts, F.col("source").eqNullSafe(F.col("s_")), "left").select(
-        F.col("source").alias("t_"), "source_size", "target", F.coalesce("threshold", F.lit(0).cast("long")).alias("threshold"),
-        F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).alias("times"),
-    )
-    return sized.join(plan, F.col("source").eqNullSafe(F.col("t_"))).select(
-        key, "source", "size", "source_size", "target",
-        (F.col("times") + (F.col("h") < F.col("threshold")).cast("long")).alias("copies"),
-    )
+    sized = sizes(spark, docs, key)
+    found = plan(spark, sized, max_repeat, weights)
+    both = sized.join(found, F.col("source").eqNullSafe(F.col("mix_source_")))
+    return both.select(key, "source", "size", "source_size", "target", copies(F.col("h")).alias("copies"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, key: str = "doc_id", max_repeat: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, all columns as they are.
+
+    Only the plan, a row for each source, meets the texts: none is shuffled.
+    """
+    found = plan(spark, sizes(spark, docs, key), max_repeat, weights).select("mix_source_", "mix_times_", "mix_threshold_")
+    both = docs.join(found, F.col("source").eqNullSafe(F.col("mix_source_")))
+    taken = F.explode(F.array_repeat(F.lit(0), copies(key_hash(F.col(key))).cast("int"))).alias("mix_copy_")
+    return both.select(*[F.col(f"`{c}`") for c in docs.columns], taken).drop("mix_copy_")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from waymark.llm import decontaminate, huffman, mixing, near, pii, quality, tokens, toxicity, warc
+import corpus_pipeline
+from waymark.llm import decontaminate, huffman, mixing, near, pii, quality, rules, tokens, toxicity, warc
 
 
 def queries() -> dict:
@@ -13,9 +14,11 @@ def queries() -> dict:
         "op4_near_duplicates": near.op4_near_duplicates,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_quality": quality.op6_quality,
+        "op7_quality_rules": rules.op7_quality_rules,
         "op8_token_counts": tokens.op8_token_counts,
         "op9_personal_data": pii.op9_personal_data,
         "op10_token_ids": huffman.op10_token_ids,
+        "pipeline": corpus_pipeline.run,
     }
 
 
