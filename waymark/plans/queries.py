@@ -37,7 +37,12 @@ def r6(c):
     return F.round(c, 6) + F.lit(0.0)  # no negative zero
 
 
-lat, lon = F.col("lat"), F.col("lon")
+def at_lat():
+    return F.col("lat")
+
+
+def at_lon():
+    return F.col("lon")
 
 
 # --- B: column functions ------------------------------------------------------
@@ -47,7 +52,7 @@ SELECT user_id, event_id, k, round(lat, 6) + 0 AS lat, round(lon, 6) + 0 AS lon
   SELECT user_id, event_id, k, CASE WHEN event_id % 7 = 0 THEN NULL ELSE round(lat, 6) END AS lat, CASE WHEN event_id % 7 = 0 THEN NULL ELSE round(lon, 6) END AS lon FROM pings)""")
 def b1(spark, sf):
     p = pings(spark, sf)
-    written = F.when(F.col("event_id") % 7 == 0, F.lit("somewhere")).when(F.col("event_id") % 2 == 0, F.format_string("geo:%.6f,%.6f", lat, lon)).otherwise(F.format_string("%.6f°, %.6f°", lat, lon))
+    written = F.when(F.col("event_id") % 7 == 0, F.lit("somewhere")).when(F.col("event_id") % 2 == 0, F.format_string("geo:%.6f,%.6f", at_lat(), at_lon())).otherwise(F.format_string("%.6f°, %.6f°", at_lat(), at_lon()))
     return p.withColumn("at", geo.parse_latlng(written)).select("user_id", "event_id", "k", r6(F.col("at.lat")).alias("lat"), r6(F.col("at.lon")).alias("lon"))
 
 
@@ -55,15 +60,15 @@ def b1(spark, sf):
 SELECT user_id, count(*) AS pings, count(*) FILTER (WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT (lat = 0 AND lon = 0)) AS valid FROM c GROUP BY user_id""")
 def b2(spark, sf):
     p = pings(spark, sf)
-    a = F.when(F.col("event_id") % 11 == 0, 0.0).when(F.col("event_id") % 13 == 0, 91.0).otherwise(lat)
-    o = F.when(F.col("event_id") % 11 == 0, 0.0).otherwise(lon)
+    a = F.when(F.col("event_id") % 11 == 0, 0.0).when(F.col("event_id") % 13 == 0, 91.0).otherwise(at_lat())
+    o = F.when(F.col("event_id") % 11 == 0, 0.0).otherwise(at_lon())
     return p.groupBy("user_id").agg(F.count("*").alias("pings"), F.count_if(geo.is_valid_coord(a, o)).alias("valid"))
 
 
 @query("B3_haversine", f"""WITH {PINGS}
 SELECT user_id, round(sum({hav('lat', 'lon', '48.8566', '2.3522')}) / count(*), 3) AS mean_m, round(max({hav('lat', 'lon', '48.8566', '2.3522')}), 3) AS max_m FROM pings GROUP BY user_id""")
 def b3(spark, sf):
-    d = geo.haversine_m(lat, lon, F.lit(48.8566), F.lit(2.3522))
+    d = geo.haversine_m(at_lat(), at_lon(), F.lit(48.8566), F.lit(2.3522))
     return pings(spark, sf).groupBy("user_id").agg(r3(F.sum(d) / F.count("*")).alias("mean_m"), r3(F.max(d)).alias("max_m"))
 
 
@@ -112,13 +117,13 @@ _GEOHASH = """array_to_string(list_transform(range(0, 6), lambda c: substr('0123
 @query("B14_geohash", f"""WITH {PINGS}, c AS (SELECT DISTINCT user_id, greatest(0, ceil((lon + 180) / 360 * 32768)::BIGINT - 1) AS i, greatest(0, ceil((lat + 90) / 180 * 32768)::BIGINT - 1) AS j FROM pings)
 SELECT user_id, {_GEOHASH} AS cell FROM c""")
 def b14(spark, sf):
-    return pings(spark, sf).select("user_id", geo.geohash(lat, lon, 6).alias("cell")).distinct()
+    return pings(spark, sf).select("user_id", geo.geohash(at_lat(), at_lon(), 6).alias("cell")).distinct()
 
 
 @query("B17_dedup_key", f"""WITH {PINGS}
 SELECT user_id, count(DISTINCT sha256(user_id::VARCHAR || '|' || strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') || '|' || printf('%.5f', round(lat, 5)) || '|' || printf('%.5f', round(lon, 5)))) AS keys FROM pings GROUP BY user_id""")
 def b17(spark, sf):
-    key = geo.point_dedup_key(F.col("user_id"), F.col("ts"), F.round(lat, 5), F.round(lon, 5))
+    key = geo.point_dedup_key(F.col("user_id"), F.col("ts"), F.round(at_lat(), 5), F.round(at_lon(), 5))
     return pings(spark, sf).groupBy("user_id").agg(F.count_distinct(key).alias("keys"))
 
 
@@ -129,12 +134,12 @@ def b18(spark, sf):
 
 @query("B19_bbox", f"WITH {PINGS} SELECT user_id, count(*) AS inside FROM pings WHERE lat BETWEEN 35.7 AND 36.1 AND lon BETWEEN 139.8 AND 140.2 GROUP BY user_id")
 def b19(spark, sf):
-    return pings(spark, sf).where(geo.in_bbox(lat, lon, (139.8, 35.7, 140.2, 36.1))).groupBy("user_id").agg(F.count("*").alias("inside"))
+    return pings(spark, sf).where(geo.in_bbox(at_lat(), at_lon(), (139.8, 35.7, 140.2, 36.1))).groupBy("user_id").agg(F.count("*").alias("inside"))
 
 
 @query("B20_radius", f"WITH {PINGS} SELECT user_id, count(*) AS inside FROM pings WHERE {hav('lat', 'lon', '51.8', '0.2')} <= 20000 GROUP BY user_id")
 def b20(spark, sf):
-    return pings(spark, sf).where(geo.within_radius(lat, lon, 51.8, 0.2, 20_000)).groupBy("user_id").agg(F.count("*").alias("inside"))
+    return pings(spark, sf).where(geo.within_radius(at_lat(), at_lon(), 51.8, 0.2, 20_000)).groupBy("user_id").agg(F.count("*").alias("inside"))
 
 
 @query("B21_overlap", f"""WITH {VISITS} SELECT user_id, hint_id FROM visits WHERE "end" >= TIMESTAMP '2024-01-05 00:00:00' AND start <= TIMESTAMP '2024-01-06 12:00:00'""")
@@ -231,13 +236,13 @@ def c20(spark, sf):
 @query("D1_stays")
 def d1(spark, sf):
     got = stays.cluster_stays(pings(spark, sf), P, "event_id", "k").where("is_stay")
-    return got.select("user_id", "start", "end", r6(lat).alias("lat"), r6(lon).alias("lon"), r3(F.col("radius_m")).alias("radius_m"), "point_count", r3(F.col("inferred_s")).alias("inferred_s"))
+    return got.select("user_id", "start", "end", r6(at_lat()).alias("lat"), r6(at_lon()).alias("lon"), r3(F.col("radius_m")).alias("radius_m"), "point_count", r3(F.col("inferred_s")).alias("inferred_s"))
 
 
 @query("D2_merged_stays")
 def d2(spark, sf):
     got = stays.merge_adjacent_stays(stays.cluster_stays(pings(spark, sf), P, "event_id", "k").where("is_stay").drop("is_stay"), P)
-    return got.select("user_id", "start", "end", r6(lat).alias("lat"), r6(lon).alias("lon"), r3(F.col("radius_m")).alias("radius_m"), "point_count", r3(F.col("inferred_s")).alias("inferred_s"))
+    return got.select("user_id", "start", "end", r6(at_lat()).alias("lat"), r6(at_lon()).alias("lon"), r3(F.col("radius_m")).alias("radius_m"), "point_count", r3(F.col("inferred_s")).alias("inferred_s"))
 
 
 @query("D3_moves")
@@ -321,7 +326,7 @@ def d19(spark, sf):
   SELECT user_id, avg(cos(radians(lat)) * cos(radians(lon))) AS x, avg(cos(radians(lat)) * sin(radians(lon))) AS y, avg(sin(radians(lat))) AS z FROM pings GROUP BY user_id))
 SELECT user_id, round(any_value(clat), 6) AS lat, round(any_value(clon), 6) AS lon, round(max({hav('lat', 'lon', 'clat', 'clon')}), 2) AS radius_m, count(*) AS points FROM pings JOIN c USING (user_id) GROUP BY user_id""")
 def e1(spark, sf):
-    return points.centres(pings(spark, sf), ["user_id"]).select("user_id", r6(lat).alias("lat"), r6(lon).alias("lon"), F.round("radius_m", 2).alias("radius_m"), "points")
+    return points.centres(pings(spark, sf), ["user_id"]).select("user_id", r6(at_lat()).alias("lat"), r6(at_lon()).alias("lon"), F.round("radius_m", 2).alias("radius_m"), "points")
 
 
 @query("E3_E4_percentiles", """WITH v AS (SELECT o_custkey, list_sort(list(o_totalprice)) AS v FROM orders GROUP BY o_custkey)
@@ -406,12 +411,12 @@ def f3(spark, sf):
 
 @query("G5_coarsen", f"WITH {PINGS} SELECT round(round(lat / (10000 / 111320.0::DOUBLE)) * (10000 / 111320.0::DOUBLE), 6) + 0 AS lat, round(round(lon / (10000 / 111320.0::DOUBLE)) * (10000 / 111320.0::DOUBLE), 6) + 0 AS lon, count(*) AS pings FROM pings GROUP BY ALL")
 def g5(spark, sf):
-    return pings(spark, sf).groupBy(r6(geo.coarsen(lat)).alias("lat"), r6(geo.coarsen(lon)).alias("lon")).agg(F.count("*").alias("pings"))
+    return pings(spark, sf).groupBy(r6(geo.coarsen(at_lat())).alias("lat"), r6(geo.coarsen(at_lon())).alias("lon")).agg(F.count("*").alias("pings"))
 
 
 @query("H1_tiles", f"""WITH {PINGS} SELECT floor((lon + 180) / 360 * 4096)::INT AS x, floor((0.5 - ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / (4 * pi())) * 4096)::INT AS y, count(*) AS pings FROM pings GROUP BY ALL""")
 def h1(spark, sf):
-    t = geo.tile_of(lat, lon, 12)
+    t = geo.tile_of(at_lat(), at_lon(), 12)
     return pings(spark, sf).groupBy(t["x"].alias("x"), t["y"].alias("y")).agg(F.count("*").alias("pings"))
 
 
@@ -458,7 +463,7 @@ def flagship(spark, sf):
     """Pings to stays to local days: what each user did each day."""
     p = points.first_stored(pings(spark, sf), ["event_id", "k"])
     found = stays.merge_adjacent_stays(stays.cluster_stays(p, P, "event_id", "k").where("is_stay").drop("is_stay"), P)
-    zone = F.when(lat < 38, F.lit("Asia/Tokyo")).when(lat < 46, F.lit("America/New_York")).otherwise(F.lit("Europe/London"))
+    zone = F.when(at_lat() < 38, F.lit("Asia/Tokyo")).when(at_lat() < 46, F.lit("America/New_York")).otherwise(F.lit("Europe/London"))
     days = stays.split_at_midnight(found.withColumn("tz_name", zone))
     dwell = points.seconds_between(F.col("start"), F.col("end"))
     return days.groupBy("user_id", "local_date").agg(F.count("*").alias("places"), r3(F.sum(dwell)).alias("dwell_s"), F.count_if(F.col("inferred_s") > 0).alias("inferred"), F.sort_array(F.collect_set("tz_name")).alias("zones"))
