@@ -10,7 +10,7 @@ import pytest
 
 from waymark.operators import stays
 from waymark.params import Params
-from waymark.plans.queries import QUERIES, SQL
+from waymark.plans import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 

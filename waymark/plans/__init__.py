@@ -1 +1,6 @@
-"""plans of the trajectory engine."""
+"""Registered queries: name to function, name to SQL."""
+
+from waymark.plans import more  # noqa: F401
+from waymark.plans.queries import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

@@ -1 +1 @@
-"""sources of the trajectory engine."""
+"""Readers of location exports, and text forms of the results."""
