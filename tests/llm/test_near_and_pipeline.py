@@ -63,7 +63,8 @@ def test_classes_are_those_of_all_pairs(spark):
             x = parent[x]
         return x
 
-    sets = {i: ({tuple(words(t)[j : j + 5]) for j in range(len(words(t)) - 4)}, tuple(words(t)) or t or "") for i, t in rows}
+    cut = {i: words(t) for i, t in rows}
+    sets = {i: ({tuple(cut[i][j : j + 5]) for j in range(len(cut[i]) - 4)}, tuple(cut[i]) or t or "") for i, t in rows}
     keys = list(sets)
     for n, a in enumerate(keys):
         for b in keys[:n]:
