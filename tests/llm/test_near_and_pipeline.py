@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from waymark.llm import near
@@ -84,6 +85,34 @@ def test_classes_are_those_of_all_pairs(spark):
         assert c == min((i for i in s if i is not None), default=None)
 
 
+def classes_of_one_bucket(spark, monkeypatch, rows):
+    """class_id by doc_id when all texts share their only key, so that all rests on how the bucket is split."""
+    real = near.sketches
+    monkeypatch.setattr(near, "sketches", lambda *a: real(*a).withColumn("keys", F.array(F.lit(1).cast("long"))))
+    got = near.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")).collect()
+    return {r["doc_id"]: r["class_id"] for r in got}
+
+
+def say(rnd, n):
+    return [rnd.choice("bcdfgklmnprst") + rnd.choice("aeiou") + rnd.choice("bcdfgklmnprst") + str(rnd.randrange(900)) for _ in range(n)]
+
+
+def changed(rnd, text, at):
+    out = list(text)
+    for i in at:
+        out[i] = say(rnd, 1)[0]
+    return out
+
+
+def test_copies_in_a_bucket_of_a_shared_passage(spark, monkeypatch):
+    rnd = random.Random(3)
+    passage = say(rnd, 120)
+    rows = [(i, passage + say(rnd, 80)) for i in range(150)]
+    rows += [(1000 + i, changed(rnd, rows[i][1], range(130, 190, 18))) for i in range(20)]
+    got = classes_of_one_bucket(spark, monkeypatch, [(i, " ".join(w)) for i, w in rows])
+    assert [got[1000 + i] for i in range(20)] == list(range(20)) and len(set(got.values())) == 150
+
+
 def test_no_rows(spark):
     assert near.near_duplicates(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

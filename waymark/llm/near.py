@@ -34,8 +34,6 @@ K, SIMILARITY = 5, 0.8
 SKETCHES, LEAST = 20, 4
 #: Keys from the shingles that a bucket's centre lacks; centres of a bucket, by round (the last from there on).
 REST, CENTRES = 16, (1, 4, 16, 64)
-#: A member less like the centre than this shares most keys with its own kind in other buckets.
-OWES = 0.5
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _TURN = _rng.integers(1, 2**63, SKETCHES, dtype=np.uint64) | np.uint64(1)
@@ -189,8 +187,7 @@ def compared(pairs: DataFrame, similarity: float) -> DataFrame:
                         n = max(len(words_a), len(words_b))
                         good = edits_within(words_a, words_b, int((1 - similarity) * n + 1e-9)) is not None
                     link.append(good)
-                    owes = same >= OWES * (len(set_a) + len(set_b) - same)
-                    keys.append(rest_keys(set_b[~common], centres[i]) if splits[i] and owes else [])
+                    keys.append(rest_keys(set_b[~common], centres[i]) if splits[i] else [])
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(link), pa.array(keys, pa.list_(pa.int64()))], ["a", "b", "link", "keys"])
 
     return pairs.select("a", "b", "text_a", "text_b", "splits").mapInArrow(run, "a long, b long, link boolean, keys array<long>")
