@@ -113,6 +113,18 @@ def test_copies_in_a_bucket_of_a_shared_passage(spark, monkeypatch):
     assert [got[1000 + i] for i in range(20)] == list(range(20)) and len(set(got.values())) == 150
 
 
+def test_copies_of_members_that_are_linked_to_the_centre(spark, monkeypatch):
+    rnd = random.Random(5)
+    base = say(rnd, 500)
+    drifted = changed(rnd, base, range(5, 45, 10))
+    rows = [(0, base)] + [(1 + i, changed(rnd, drifted, [50])) for i in range(60)]
+    for i in range(12):  # b is linked to all of those, d only to b
+        b = changed(rnd, drifted, [60 + i])
+        rows += [(100 + i, b), (200 + i, changed(rnd, b, [100 + i + 31 * k for k in range(11)]))]
+    got = classes_of_one_bucket(spark, monkeypatch, [(i, " ".join(w)) for i, w in rows])
+    assert sum(got[200 + i] == 0 for i in range(12)) == 12
+
+
 def test_no_rows(spark):
     assert near.near_duplicates(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -148,15 +148,15 @@ def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
 
 
 def rest_keys(rest: np.ndarray, centre: int) -> list[int]:
-    """The keys of a member by its shingles ``rest`` that the centre lacks: the REST least of them, or all."""
-    turned = rest * _TURN[0]
+    """The keys of a member by its shingles ``rest`` that the centre lacks: the REST least of them, in an order of this centre's own, or all."""
+    turned = mix(rest + mix(np.full(1, centre, dtype=np.uint64)))
     if len(turned) > REST:
         turned = np.partition(turned, REST - 1)[:REST]
-    return mix(turned + mix(np.full(1, centre, dtype=np.uint64))).view(np.int64).tolist()
+    return turned.view(np.int64).tolist()
 
 
 def compared(pairs: DataFrame, similarity: float) -> DataFrame:
-    """a, b of the pairs (a, b, text_a, text_b, splits), whether they are linked, and where a splits a bucket the keys of what b has and a hasn't."""
+    """a, b, splits of the pairs (a, b, text_a, text_b, splits, meet), whether they are linked where they ``meet``, and where a splits a bucket the keys of what b has and a hasn't."""
 
     def parsed(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         out = []
@@ -172,7 +172,7 @@ def compared(pairs: DataFrame, similarity: float) -> DataFrame:
         for whole in rows:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                centres, splits = batch.column(0).to_pylist(), batch.column(4).to_pylist()
+                centres, splits, meet = (batch.column(i).to_pylist() for i in (0, 4, 5))
                 # Rows come sorted by a, so a centre is taken apart once.
                 new = [i for i, c in enumerate(centres) if not i or c != centres[i - 1]]
                 texts_a = parsed(batch.column(2).take(pa.array(new)))
@@ -182,15 +182,15 @@ def compared(pairs: DataFrame, similarity: float) -> DataFrame:
                     words_a, set_a = texts_a[of[i]]
                     common = np.isin(set_b, set_a, assume_unique=True)
                     same = int(common.sum())
-                    good = same >= similarity * (len(set_a) + len(set_b) - same)
+                    good = meet[i] and same >= similarity * (len(set_a) + len(set_b) - same)
                     if good:
                         n = max(len(words_a), len(words_b))
                         good = edits_within(words_a, words_b, int((1 - similarity) * n + 1e-9)) is not None
                     link.append(good)
                     keys.append(rest_keys(set_b[~common], centres[i]) if splits[i] else [])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(link), pa.array(keys, pa.list_(pa.int64()))], ["a", "b", "link", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), pa.array(link, pa.bool_()), pa.array(keys, pa.list_(pa.int64()))], ["a", "b", "splits", "link", "keys"])
 
-    return pairs.select("a", "b", "text_a", "text_b", "splits").mapInArrow(run, "a long, b long, link boolean, keys array<long>")
+    return pairs.select("a", "b", "text_a", "text_b", "splits", "meet").mapInArrow(run, "a long, b long, splits boolean, link boolean, keys array<long>")
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -223,6 +223,15 @@ def joined(spark: SparkSession, comp: DataFrame, links: DataFrame) -> DataFrame:
     return comp.join(to, "comp", "left").select("node", F.coalesce("to_", "comp").alias("comp")).union(moved.select("node", "comp"))
 
 
+def _mixed(seats: DataFrame, comp: DataFrame) -> DataFrame:
+    """Seats (node, bucket) with comp and size, of buckets with nodes that aren't known to be linked; of those with the same members only one."""
+    seats = seats.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    sums = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")]
+    sizes = seats.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"), *sums).where("low < high")
+    sizes = sizes.groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
+    return seats.join(sizes, "bucket")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """``key``, class_id, keep, text_hash of every row: the classes that links make, as above.
 
@@ -238,13 +247,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", s
     nodes = rows.groupBy("h1", "h2").agg(F.min(best).alias("best"), F.min_by("text_hash", "row_").alias("text_hash"), F.min_by("n_shingles", "row_").alias("n"), F.min_by("keys", "row_").alias("keys"))
     nodes = stage(spark, nodes.withColumn("node", F.col("best.r")), "nodes")
 
-    texts = tried = None
+    texts = tried = owed = kept = None
     comp = spark.createDataFrame([], "node long, comp long")
     seats = nodes.select("node", F.explode("keys").alias("bucket"))
     for turn in itertools.count():
-        seats = seats.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        sizes = seats.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").drop("low", "high")
-        seats = stage(spark, seats.join(sizes, "bucket"), "seats")
+        seats = stage(spark, _mixed(seats, comp), "seats")
         if not seats.take(1):
             break
         if texts is None:
@@ -258,20 +265,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", s
         # Only the most central one splits a bucket, and only if two members or more are no centres.
         splits = (F.col("c") == F.col("lead_")) & (F.col("c.size") > F.col("n_") + 1)
         centres = centres.withColumns({"lead_": F.max("c").over(few), "n_": F.count("*").over(few)}).select("bucket", F.col("c.node").alias("a"), F.col("c.comp").alias("comp_a"), splits.alias("splits"))
-        # Nodes that are known to be linked don't meet.
-        pairs = members.join(centres, "bucket").where("node != a and comp != comp_a").groupBy("a", F.col("node").alias("b")).agg(F.max("splits").alias("splits"))
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stage(spark, pairs, "pairs")
+        # Nodes that are known to be linked don't meet, but what splits a bucket splits all of it.
+        meet = F.col("comp") != F.col("comp_a")
+        pairs = members.join(centres, "bucket").where((F.col("node") != F.col("a")) & (meet | F.col("splits"))).groupBy("a", F.col("node").alias("b")).agg(F.max("splits").alias("splits"), F.max(meet).alias("meet"))
+        for done, flag in ((tried, "meet"), (owed, "splits")):
+            if done is not None:
+                pairs = pairs.join(done.withColumn("done_", F.lit(True)), ["a", "b"], "left").withColumn(flag, F.col(flag) & F.col("done_").isNull()).drop("done_")
+        pairs = stage(spark, pairs.where("meet or splits"), "pairs")
         with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         with_both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         found = stage(spark, compared(with_both, similarity), "compared")
-        done = pairs.select("a", "b")
+        done = pairs.where("meet").select("a", "b")
         tried = done if tried is None else tried.union(done)
         new = found.where("link").select("a", "b")
         if new.take(1):
             comp = stage(spark, joined(spark, comp, new), "components")
-        seats = found.select(F.col("b").alias("node"), F.explode("keys").alias("bucket")).distinct()
+        # Keys are owed in buckets that still hold nodes that aren't linked, to all members by the same centre.
+        still = _mixed(seats.select("node", "bucket"), comp).join(centres.where("splits").select("bucket", "a"), "bucket")
+        due = found.where("splits").join(still.where("node != a").select("a", F.col("node").alias("b")).distinct(), ["a", "b"])
+        due = stage(spark, due.select("a", "b", "keys"), "due")
+        fresh = stage(spark, due.select(F.col("b").alias("node"), F.explode("keys").alias("bucket")), "fresh")
+        # A bucket that gets a new member has its former ones again.
+        seats = fresh if kept is None else fresh.union(kept.join(fresh.select("bucket").distinct(), "bucket", "left_semi").select("node", "bucket"))
+        owed = due.select("a", "b") if owed is None else owed.union(due.select("a", "b"))
+        kept = fresh if kept is None else kept.union(fresh)
 
     named = nodes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     classes = named.groupBy("comp").agg(F.min("best").alias("class"))
