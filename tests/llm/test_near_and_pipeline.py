@@ -125,6 +125,14 @@ def test_copies_of_members_that_are_linked_to_the_centre(spark, monkeypatch):
     assert sum(got[200 + i] == 0 for i in range(12)) == 12
 
 
+def test_copies_that_are_cut_short(spark, monkeypatch):
+    rnd = random.Random(7)
+    base = say(rnd, 600)
+    rows = [(i, changed(rnd, base, [560 + i % 30])) for i in range(60)] + [(100, base[:540]), (200, base[:468])]
+    got = classes_of_one_bucket(spark, monkeypatch, [(i, " ".join(w)) for i, w in rows])
+    assert set(got.values()) == {0}
+
+
 def test_no_rows(spark):
     assert near.near_duplicates(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

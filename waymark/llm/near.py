@@ -32,7 +32,7 @@ from waymark.llm.common import Words, in_bitmap, key_bitmap, mix, stage, table,
 
 K, SIMILARITY = 5, 0.8
 SKETCHES, LEAST = 20, 4
-#: Keys from the shingles that a bucket's centre lacks; centres of a bucket, by round (the last from there on).
+#: Keys from the shingles that a bucket's centre lacks, and from those that a member lacks; centres of a bucket, by round (the last from there on).
 REST, CENTRES = 16, (1, 4, 16, 64)
 
 _rng = np.random.Generator(np.random.PCG64(77))
@@ -147,16 +147,16 @@ def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     return None
 
 
-def rest_keys(rest: np.ndarray, centre: int) -> list[int]:
-    """The keys of a member by its shingles ``rest`` that the centre lacks: the REST least of them, in an order of this centre's own, or all."""
-    turned = mix(rest + mix(np.full(1, centre, dtype=np.uint64)))
+def rest_keys(rest: np.ndarray, centre: int, side: int = 0) -> list[int]:
+    """The keys of a member by its shingles ``rest`` that the centre lacks (or on side 1 those of the centre that it lacks): the REST least of them, in an order of this centre's and side's own, or all."""
+    turned = mix(rest + mix(mix(np.full(1, centre, dtype=np.uint64)) + np.uint64(side)))
     if len(turned) > REST:
         turned = np.partition(turned, REST - 1)[:REST]
     return turned.view(np.int64).tolist()
 
 
 def compared(pairs: DataFrame, similarity: float) -> DataFrame:
-    """a, b, splits of the pairs (a, b, text_a, text_b, splits, meet), whether they are linked where they ``meet``, and where a splits a bucket the keys of what b has and a hasn't."""
+    """a, b, splits of the pairs (a, b, text_a, text_b, splits, meet), whether they are linked where they ``meet``, and where a splits a bucket the keys of what b has and a hasn't, and the reverse."""
 
     def parsed(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         out = []
@@ -187,7 +187,8 @@ def compared(pairs: DataFrame, similarity: float) -> DataFrame:
                         n = max(len(words_a), len(words_b))
                         good = edits_within(words_a, words_b, int((1 - similarity) * n + 1e-9)) is not None
                     link.append(good)
-                    keys.append(rest_keys(set_b[~common], centres[i]) if splits[i] else [])
+                    lacks = set_a[~np.isin(set_a, set_b, assume_unique=True)] if splits[i] else ()
+                    keys.append(rest_keys(set_b[~common], centres[i]) + rest_keys(lacks, centres[i], 1) if splits[i] else [])
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), pa.array(link, pa.bool_()), pa.array(keys, pa.list_(pa.int64()))], ["a", "b", "splits", "link", "keys"])
 
     return pairs.select("a", "b", "text_a", "text_b", "splits", "meet").mapInArrow(run, "a long, b long, splits boolean, link boolean, keys array<long>")
