@@ -133,6 +133,16 @@ def test_copies_that_are_cut_short(spark, monkeypatch):
     assert set(got.values()) == {0}
 
 
+def test_short_texts(spark):
+    rnd = random.Random(9)
+    rows = []
+    for i in range(900):
+        w = say(rnd, 8)
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w + say(rnd, 1)))]
+    got = near.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")).collect()
+    assert sum(r["class_id"] != r["doc_id"] // 2 * 2 for r in got) == 0
+
+
 def test_no_rows(spark):
     assert near.near_duplicates(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -2,7 +2,8 @@
 
 A document's sketch has SKETCHES keys. Each comes from the LEAST smallest of
 its occurrence-labelled five-word k-mers under one hash, hashed in the order
-they have in the text; so it agrees with a probability that falls with edits.
+they have in the text; so it agrees with a probability that falls with edits. Texts of
+few shingles have the least of these as keys besides, by which none is missed.
 Documents with the same words are one node, and nodes that share a key are a
 bucket. Its members are compared with its centre, not with each other: the most
 central member, whose keys' buckets hold most. What two members other than
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,9 @@ SKETCHES, LEAST = 20, 4
 #: Keys from the shingles that a bucket's centre lacks, and from those that a member lacks; centres of a bucket, by round (the last from there on).
 REST, CENTRES = 16, (1, 4, 16, 64)
 
+#: Texts of so few distinct shingles meet all that they may be linked with: the least of their shingles are keys too.
+SHORT = 20
+
 _rng = np.random.Generator(np.random.PCG64(77))
 _TURN = _rng.integers(1, 2**63, SKETCHES, dtype=np.uint64) | np.uint64(1)
 _SEAT = _rng.integers(1, 2**63, LEAST, dtype=np.uint64) | np.uint64(1)
@@ -71,7 +76,16 @@ def order_minhash(kmers: np.ndarray, names: np.ndarray) -> np.ndarray:
     return mix((kmers[least] * _SEAT[: len(least), None]).sum(axis=0, dtype=np.uint64) + np.arange(SKETCHES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def sketches(docs: DataFrame, key: str) -> DataFrame:
+def prefix_keys(shingles: np.ndarray, similarity: float) -> np.ndarray:
+    """Keys of a text of few distinct shingles, one of which it shares with any that is as similar; none for a text with more than a partner of SHORT may have."""
+    n = len(shingles)
+    if not n or n > SHORT / similarity + 1e-9:
+        return np.zeros(0, np.uint64)
+    # A partner has that part of them at least, so it has one of the others and one more, and the least in common is among both prefixes.
+    return np.sort(mix(shingles ^ _TURN[1]))[: n - math.ceil(similarity * n - 1e-9) + 1]
+
+
+def sketches(docs: DataFrame, key: str, similarity: float = SIMILARITY) -> DataFrame:
     """key, row_, text_hash, h1 and h2 (of the words, or of a text without any), n_shingles (distinct), keys."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +114,8 @@ def sketches(docs: DataFrame, key: str) -> DataFrame:
                         h1.append(int(own[w0:w1].sum(dtype=np.uint64).view(np.int64)))
                         h2.append(int(own2[w0:w1].sum(dtype=np.uint64).view(np.int64)))
                     n.append(int(distinct[g1] - distinct[g0]))
-                    keys.append(order_minhash(grams[g0:g1], names[g0:g1]).view(np.int64).tolist() if g1 > g0 else [])
+                    own_keys = order_minhash(grams[g0:g1], names[g0:g1]).view(np.int64).tolist() if g1 > g0 else []
+                    keys.append(own_keys + prefix_keys(grams[g0:g1][fresh[g0:g1]], similarity).view(np.int64).tolist())
                 mine = [batch.column(i).slice(a, b - a) for i in range(3)]
                 yield pa.RecordBatch.from_arrays([*mine, pa.array(h1), pa.array(h2), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["key", "row_", "text_hash", "h1", "h2", "n_shingles", "keys"])
 
@@ -243,7 +258,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", s
     empty. Null keys come last and name a class only if it has no other. Other
     columns aren't read.
     """
-    rows = stage(spark, sketches(docs, key), "sketches")
+    rows = stage(spark, sketches(docs, key, similarity), "sketches")
     best = F.struct(F.col("key").isNull().alias("x"), F.col("key").alias("k"), F.col("row_").alias("r"))
     nodes = rows.groupBy("h1", "h2").agg(F.min(best).alias("best"), F.min_by("text_hash", "row_").alias("text_hash"), F.min_by("n_shingles", "row_").alias("n"), F.min_by("keys", "row_").alias("keys"))
     nodes = stage(spark, nodes.withColumn("node", F.col("best.r")), "nodes")
