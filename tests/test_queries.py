@@ -8,7 +8,7 @@ import random
 import duckdb
 import pytest
 
-from waymark.operators import stays
+from waymark.operators import intervals, stays
 from waymark.params import Params
 from waymark.plans import QUERIES, SQL
 
@@ -131,3 +131,23 @@ def test_no_time_is_lost_at_midnight(spark):
     for u, start, end, _ in rows:
         assert sum((r["end"] - r["start"]).total_seconds() for r in got if r["user_id"] == u) == (end - start).total_seconds()
     assert [r["user_id"] for r in got].count(1) == 4
+
+
+def test_no_implied_move_beside_a_measured_one(spark):
+    rnd, at = random.Random(6), lambda s: T0 + datetime.timedelta(seconds=s)
+    spans = lambda n, most: [(rnd.randrange(4), i, a := rnd.randrange(500_000) // 60 * 60, a + rnd.randint(1, most) * 60) for i in range(n)]
+    gaps, moves = spans(150, 4000), spans(25, 300)
+    frame = lambda rows: spark.createDataFrame([(u, i, at(a), at(b)) for u, i, a, b in rows], "user_id long, hint_id long, start timestamp_ntz, end timestamp_ntz")
+    got = {r["hint_id"] for r in intervals.without_overlap(frame(gaps), frame(moves), "hint_id").collect()}
+    want = {i for u, i, a, b in gaps if not any(v == u and c < b and d > a for v, _, c, d in moves)}
+    assert got == want and 0 < len(want) < 150
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+def test_implied_moves_leave_out_what_was_measured(spark):
+    rows = lambda name: QUERIES[name](spark, SF).select("user_id", "start", "end").collect()
+    gaps, moves = rows("D7_implied_moves"), rows("D3_moves")
+    want = [g for g in gaps if not any(m[0] == g[0] and m[1] < g[2] and m[2] > g[1] for m in moves)]
+    assert sorted(rows("D7_implied_moves_unmeasured")) == sorted(want)
+    print("D7", len(gaps), len(want))
+    assert len(want) < len(gaps)

@@ -78,3 +78,12 @@ def eps_pairs(points: DataFrame, eps_m: float, keys: tuple[str, ...] = ("user_id
     met = home.join(around, [*keys, "band_", "cell_"]).where("a < b")
     d = haversine_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
     return met.where(d <= eps_m).select(*keys, "a", "b", d.alias("metres")).distinct()
+
+
+def without_overlap(spans: DataFrame, moves: DataFrame, key: str, bucket_s: int = 86_400) -> DataFrame:
+    """Spans (user_id, ``key``, start, end) that no move of the user (start, end) overlaps; touching ends don't count."""
+    width = bucket_s * 1_000_000
+    buckets = F.explode(F.sequence(F.floor(micros(F.col("start")) / width), F.floor(micros(F.col("end")) / width)))
+    placed = moves.withColumn("bucket_", buckets).select("user_id", "bucket_", F.col("start").alias("from_"), F.col("end").alias("to_"))
+    hit = spans.withColumn("bucket_", buckets).join(placed, ["user_id", "bucket_"]).where("from_ < end and to_ > start")
+    return spans.join(hit.select("user_id", key).distinct(), ["user_id", key], "left_anti")

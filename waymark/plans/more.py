@@ -9,7 +9,7 @@ from waymark.functions import geo, text
 from waymark.functions import time as times
 from waymark.operators import intervals, points
 from waymark.plans.fixtures import PHOTOS, PINGS, VISITS, hav, photos, pings, table, visits
-from waymark.plans.queries import _PLACES, _places, query, r3, r6
+from waymark.plans.queries import _PLACES, QUERIES, _places, query, r3, r6
 from waymark.sources import timeline
 
 
@@ -96,6 +96,13 @@ def d7(spark, sf):
     return v.where(gap > 60).withColumn("duration_s", F.floor(gap).cast("long"))
 
 
+@query("D7_implied_moves_unmeasured")
+def d7_unmeasured(spark, sf):
+    # D7 as the survey has it: the gaps of the query above that no measured move overlaps.
+    moves = QUERIES["D3_moves"](spark, sf).select("user_id", "start", "end")
+    return intervals.without_overlap(d7(spark, sf), moves, "hint_id")
+
+
 @query("D10_trip_spans", f"""WITH {VISITS}, l AS (SELECT *, ((start AT TIME ZONE 'UTC') AT TIME ZONE tz_name)::DATE AS local_date FROM visits)
 SELECT user_id, local_date, arg_min(tz_name, start) AS anchor_tz, min(start) AS start, max("end") AS "end", count(*) AS places FROM l GROUP BY ALL""")
 def d10(spark, sf):
