@@ -10,7 +10,7 @@ import pytest
 
 from waymark.operators import intervals, stays
 from waymark.params import Params
-from waymark.plans import QUERIES, SQL
+from waymark.plans import QUERIES, SQL, more
 
 SF = "/root/testdata/sf0.001"
 
@@ -149,5 +149,17 @@ def test_implied_moves_leave_out_what_was_measured(spark):
     gaps, moves = rows("D7_implied_moves"), rows("D3_moves")
     want = [g for g in gaps if not any(m[0] == g[0] and m[1] < g[2] and m[2] > g[1] for m in moves)]
     assert sorted(rows("D7_implied_moves_unmeasured")) == sorted(want)
-    print("D7", len(gaps), len(want))
     assert len(want) < len(gaps)
+
+
+def test_monthly_density_of_all_days(spark):
+    rows = [(datetime.date(2024, 1, 3), 2, 5.0), (datetime.date(2024, 1, 9), 4, 0.0), (datetime.date(2024, 4, 1), 1, 1.0)]
+    got = more.monthly_density(spark.createDataFrame(rows, "day date, places long, metres double")).collect()
+    assert sorted((r["month"].month, r["weight"]) for r in got) == [(1, 7), (2, 0), (3, 0), (4, 2)]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+def test_monthly_density_counts_every_order(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    days = orders.selectExpr("to_date(o_orderdate) as day", "o_totalprice").groupBy("day").sum("o_totalprice").where("`sum(o_totalprice)` > 0").count()
+    assert sum(r["weight"] for r in QUERIES["E12_monthly_weight"](spark, SF).collect()) == orders.count() + days

@@ -123,6 +123,22 @@ def e11(spark, sf):
     return _places(spark, sf).groupBy("day").agg(F.count("*").alias("trips"), F.round(F.sum("metres"), 2).alias("metres"), F.count_distinct("city").alias("cities"))
 
 
+def monthly_density(days):
+    """month, weight of days (day, places, metres): places, and one more for a day with metres; months without days too."""
+    m = days.groupBy(F.trunc("day", "month").alias("month")).agg(F.sum(F.col("places") + (F.col("metres") > 0).cast("int")).alias("weight"))
+    every = m.agg(F.min("month").alias("a"), F.max("month").alias("b")).select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("month"))
+    return every.join(m, "month", "left").select("month", F.coalesce("weight", F.lit(0)).alias("weight"))
+
+
+@query("E12_monthly_weight", """WITH d AS (SELECT o_orderdate::DATE AS day, count(*) AS places, sum(o_totalprice) AS metres FROM orders GROUP BY 1),
+m AS (SELECT date_trunc('month', day)::DATE AS month, sum(places + CASE WHEN metres > 0 THEN 1 ELSE 0 END)::BIGINT AS weight FROM d GROUP BY 1),
+s AS (SELECT unnest(generate_series(min(month)::TIMESTAMP, max(month)::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS month FROM m)
+SELECT month, coalesce(weight, 0) AS weight FROM s LEFT JOIN m USING (month)""")
+def e12_weight(spark, sf):
+    o = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day"))
+    return monthly_density(o.agg(F.count("*").alias("places"), F.sum("o_totalprice").alias("metres")))
+
+
 @query("E18_workdays", f"""WITH {VISITS}, l AS (SELECT user_id, (start AT TIME ZONE 'UTC') AT TIME ZONE tz_name AS t FROM visits) SELECT user_id, count(DISTINCT t::DATE) FILTER (WHERE isodow(t) < 6) AS workdays FROM l GROUP BY user_id""")
 def e18(spark, sf):
     ts, tz = F.col("start"), F.col("tz_name")
