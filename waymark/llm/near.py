@@ -30,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import Words, in_bitmap, key_bitmap, mix, stage, table, text_chunks
+from waymark.llm.common import Words, in_bitmap, key_bitmap, mix, scratch, stage, table, text_chunks
 
 K, SIMILARITY = 5, 0.8
 SKETCHES, LEAST = 20, 4
 #: Keys from the shingles that a bucket's centre lacks, and from those that a member lacks; centres of a bucket, by round (the last from there on).
 REST, CENTRES = 16, (1, 4, 16, 64)
 
+#: A member with a larger part than this that the centre lacks shares a part of that with all it is linked with; what all lack alike would only gather them again.
+OWN = 0.4
 #: Texts of so few distinct shingles meet all that they may be linked with: the least of their shingles are keys too.
 SHORT = 20
 
@@ -170,6 +172,13 @@ def rest_keys(rest: np.ndarray, centre: int, side: int = 0) -> list[int]:
     return turned.view(np.int64).tolist()
 
 
+def banded(keys: list[int], distance: float, most: float) -> list[int]:
+    """Each key for two bands of the distance from the centre: members whose distances from it differ by more than ``most`` are further apart than that, and needn't meet."""
+    band = int(distance / (most + 1e-9))
+    some = np.array(keys, dtype=np.int64).view(np.uint64)
+    return np.concatenate([mix(some + np.uint64(x)) for x in (band, band + 1)]).view(np.int64).tolist()
+
+
 def compared(pairs: DataFrame, similarity: float) -> DataFrame:
     """a, b, splits of the pairs (a, b, text_a, text_b, splits, meet), whether they are linked where they ``meet``, and where a splits a bucket the keys of what b has and a hasn't, and the reverse."""
 
@@ -202,8 +211,8 @@ def compared(pairs: DataFrame, similarity: float) -> DataFrame:
                         n = max(len(words_a), len(words_b))
                         good = edits_within(words_a, words_b, int((1 - similarity) * n + 1e-9)) is not None
                     link.append(good)
-                    lacks = set_a[~np.isin(set_a, set_b, assume_unique=True)] if splits[i] else ()
-                    keys.append(rest_keys(set_b[~common], centres[i]) + rest_keys(lacks, centres[i], 1) if splits[i] else [])
+                    lacks = set_a[~np.isin(set_a, set_b, assume_unique=True)] if splits[i] and len(set_b) - same <= OWN * len(set_b) else set_a[:0]
+                    keys.append(banded(rest_keys(set_b[~common], centres[i]) + rest_keys(lacks, centres[i], 1), 1 - same / max(1, len(set_a) + len(set_b) - same), 1 - similarity) if splits[i] else [])
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), pa.array(link, pa.bool_()), pa.array(keys, pa.list_(pa.int64()))], ["a", "b", "splits", "link", "keys"])
 
     return pairs.select("a", "b", "text_a", "text_b", "splits", "meet").mapInArrow(run, "a long, b long, splits boolean, link boolean, keys array<long>")
@@ -239,6 +248,12 @@ def joined(spark: SparkSession, comp: DataFrame, links: DataFrame) -> DataFrame:
     return comp.join(to, "comp", "left").select("node", F.coalesce("to_", "comp").alias("comp")).union(moved.select("node", "comp"))
 
 
+def _added(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """All that was written to ``path`` so far, and ``df``: one scan, however many rounds there are."""
+    df.write.mode("append").option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _mixed(seats: DataFrame, comp: DataFrame) -> DataFrame:
     """Seats (node, bucket) with comp and size, of buckets with nodes that aren't known to be linked; of those with the same members only one."""
     seats = seats.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -264,6 +279,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", s
     nodes = stage(spark, nodes.withColumn("node", F.col("best.r")), "nodes")
 
     texts = tried = owed = kept = None
+    folder = scratch(spark, "rounds")
     comp = spark.createDataFrame([], "node long, comp long")
     seats = nodes.select("node", F.explode("keys").alias("bucket"))
     for turn in itertools.count():
@@ -276,7 +292,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", s
         members = stage(spark, seats.join(central, "node"), "members")
         n_centres = CENTRES[min(turn, len(CENTRES) - 1)]
         best = F.max(F.struct("central", F.xxhash64("node").alias("tie"), "node", "comp", "size")).alias("c")
-        centres = members.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(n_centres)).alias("share")).agg(best)
+        centres = members.groupBy("bucket", F.when(F.col("size") > n_centres, F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(n_centres))).otherwise(F.col("node")).alias("share")).agg(best)
         few = Window.partitionBy("bucket")  # its centres, n_centres at most
         # Only the most central one splits a bucket, and only if two members or more are no centres.
         splits = (F.col("c") == F.col("lead_")) & (F.col("c.size") > F.col("n_") + 1)
@@ -292,7 +308,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", s
         with_both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         found = stage(spark, compared(with_both, similarity), "compared")
         done = pairs.where("meet").select("a", "b")
-        tried = done if tried is None else tried.union(done)
+        tried = _added(spark, done, f"{folder}/tried")
         new = found.where("link").select("a", "b")
         if new.take(1):
             comp = stage(spark, joined(spark, comp, new), "components")
@@ -303,8 +319,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", s
         fresh = stage(spark, due.select(F.col("b").alias("node"), F.explode("keys").alias("bucket")), "fresh")
         # A bucket that gets a new member has its former ones again.
         seats = fresh if kept is None else fresh.union(kept.join(fresh.select("bucket").distinct(), "bucket", "left_semi").select("node", "bucket"))
-        owed = due.select("a", "b") if owed is None else owed.union(due.select("a", "b"))
-        kept = fresh if kept is None else kept.union(fresh)
+        owed = _added(spark, due.select("a", "b"), f"{folder}/owed")
+        kept = _added(spark, fresh, f"{folder}/kept")
 
     named = nodes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     classes = named.groupBy("comp").agg(F.min("best").alias("class"))
