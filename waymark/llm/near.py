@@ -5,40 +5,49 @@ its occurrence-labelled five-word k-mers under one hash, hashed in the order
 they have in the text; so it agrees with a probability that falls with edits. Texts of
 few shingles have the least of these as keys besides, by which none is missed.
 Documents with the same words are one node, and nodes that share a key are a
-bucket. Its members are compared with its centre, not with each other: the most
-central member, whose keys' buckets hold most. What two members other than
-that may have in common is looked for in what the centre lacks: each member's
-shingles that the centre hasn't give REST keys, by which the bucket is split into
+bucket. All members of a small bucket are compared with each other. Those of a
+larger one are compared with its centre, the most central member, whose keys'
+buckets hold most. What two members other than that may have in common is looked
+for in how they differ from the centre: the shingles that a member has and the
+centre hasn't, or that it lacks, give REST keys, by which the bucket is split into
 smaller ones for the next round. So a passage that many documents share, or the
 text that a family of copies comes from, is compared once and then left out.
-Rounds go on until no bucket holds two nodes that aren't known to be linked;
-later ones elect more centres, so that the small buckets left end soon.
+Rounds go on until no bucket holds two nodes that aren't known to be linked and
+haven't been compared or split.
 
 A link needs shared five-word shingles of SIMILARITY (Jaccard) or more, and an
 alignment of the words within the band of 1 - SIMILARITY with as few edits.
+
+What a split may lose: of two texts of equal length that just make a link, at most
+1/9 of the shingles of either isn't the other's. If neither is linked to the centre,
+at least as much tells each from it, so their differences from the centre agree by
+1/3 or more. Where at least OWN of a text isn't the centre's, the shingles of its own alone do:
+by (OWN - 1/9) / (OWN + 1/9), 0.38. REST keys, of the least by hash, then miss them with
+(2/3) ** REST, 2e-6, at worst. A member that is nearly the centre's text differs from it by few
+shingles, all of which are keys, and meets one that is just not linked to the centre by the share
+they have in that one's: at 1/10 of them 0.9 ** REST, 3%, are missed in one such bucket. Two that
+make a link share 8 of the 20 first buckets on average, with other centres.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import Words, in_bitmap, key_bitmap, mix, scratch, stage, table, text_chunks
+from waymark.llm.common import Words, in_bitmap, key_bitmap, mix, powers, scratch, stage, table, text_chunks
 
 K, SIMILARITY = 5, 0.8
 SKETCHES, LEAST = 20, 4
-#: Keys from the shingles that a bucket's centre lacks, and from those that a member lacks; centres of a bucket, by round (the last from there on).
-REST, CENTRES = 16, (1, 4, 16, 64)
-
-#: A member with a larger part than this that the centre lacks shares a part of that with all it is linked with; what all lack alike would only gather them again.
-OWN = 0.4
+#: Keys from how a member differs from its bucket's centre; members of a bucket that are all compared with each other.
+REST, SMALL = 32, 4
+#: A member with a larger part than this that the centre lacks shares enough of that with all it is linked with; what all lack alike would only gather them again.
+OWN = 0.25
 #: Texts of so few distinct shingles meet all that they may be linked with: the least of their shingles are keys too.
 SHORT = 20
 
@@ -131,56 +140,69 @@ def text_hash():
 
 
 def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
-    """The edit distance of two sequences if it is at most ``most``: furthest-reaching points, diagonal by diagonal, in a band of that width."""
+    """The edit distance of two sequences if it is at most ``most``: furthest-reaching points of all diagonals of a band of that width at once.
+
+    How far a diagonal's points agree is found by halving, over sums of the
+    hashed words, so reordered texts cost most**2 array steps at the most, and no loop over words.
+    """
     n, m = len(a), len(b)
     if abs(n - m) > most:
         return None
-
-    def slide(x: int, k: int) -> int:
-        y, step = x - k, 16
-        while x < n and y < m:
-            width = min(step, n - x, m - y)
-            differ = a[x : x + width] != b[y : y + width]
-            i = int(differ.argmax())
-            if differ[i]:
-                return x + i
-            x, y, step = x + width, y + width, step * 4
+    up, _ = powers(max(n, m) + 1)
+    sums_a, sums_b = np.zeros(n + 1, np.uint64), np.zeros(m + 1, np.uint64)
+    np.cumsum(mix(a) * up[:n], dtype=np.uint64, out=sums_a[1:])
+    np.cumsum(mix(b) * up[:m], dtype=np.uint64, out=sums_b[1:])
+
+    def slide(x: np.ndarray, k: np.ndarray) -> np.ndarray:
+        y = x - k
+        left = np.minimum(n - x, m - y)
+        go = np.flatnonzero(left > 0)
+        go = go[a[x[go]] == b[y[go]]]
+        if not len(go):
+            return x
+        i, j = x[go], y[go]
+        low, high = np.ones(len(go), np.int64), left[go]
+        while (low < high).any():
+            half = (low + high + 1) // 2
+            same = (sums_a[i + half] - sums_a[i]) * up[j] == (sums_b[j + half] - sums_b[j]) * up[i]
+            low, high = np.where(same, half, low), np.where(same, high, half - 1)
+        x = x.copy()
+        x[go] += low
         return x
 
-    far = {0: slide(0, 0)}
+    # far[k + most + 1] is the furthest x on diagonal k; x below zero: not reached.
+    far = np.full(2 * most + 3, -2, dtype=np.int64)
+    far[most + 1] = slide(np.zeros(1, np.int64), np.zeros(1, np.int64))[0]
     for d in range(most + 1):
-        if far.get(n - m, -1) >= n:
+        if far[n - m + most + 1] >= n:
             return d
         if d == most:
             return None
-        rest, nxt = most - d - 1, {}
-        for k in range(max(-d - 1, n - m - rest), min(d + 1, n - m + rest) + 1):
-            x = max(far.get(k, -2) + 1, far.get(k - 1, -2) + 1, far.get(k + 1, -2))
-            if x < max(0, k):
-                continue
-            x = min(x, n, m + k)
-            nxt[k] = slide(x, k)
+        rest = most - d - 1
+        k = np.arange(max(-d - 1, n - m - rest), min(d + 1, n - m + rest) + 1)
+        at = k + most + 1
+        x = np.maximum(np.maximum(far[at], far[at - 1]) + 1, far[at + 1])
+        good = x >= np.maximum(0, k)
+        k, at, x = k[good], at[good], x[good]
+        nxt = np.full_like(far, -2)
+        nxt[at] = slide(np.minimum(np.minimum(x, n), m + k), k)
         far = nxt
     return None
 
 
-def rest_keys(rest: np.ndarray, centre: int, side: int = 0) -> list[int]:
-    """The keys of a member by its shingles ``rest`` that the centre lacks (or on side 1 those of the centre that it lacks): the REST least of them, in an order of this centre's and side's own, or all."""
-    turned = mix(rest + mix(mix(np.full(1, centre, dtype=np.uint64)) + np.uint64(side)))
+def rest_keys(own: np.ndarray, lacks: np.ndarray, n: int, centre: int) -> list[int]:
+    """The keys of a member of ``n`` shingles by those that are its ``own`` and, unless they are OWN of it, those of the centre that it ``lacks``: the REST least of them, in an order of this centre's, or all."""
+    seed = mix(np.full(1, centre, dtype=np.uint64))
+    turned = mix(own + mix(seed))
+    if len(own) < OWN * n:
+        turned = np.concatenate([turned, mix(lacks + mix(seed + np.uint64(1)))])
     if len(turned) > REST:
         turned = np.partition(turned, REST - 1)[:REST]
     return turned.view(np.int64).tolist()
 
 
-def banded(keys: list[int], distance: float, most: float) -> list[int]:
-    """Each key for two bands of the distance from the centre: members whose distances from it differ by more than ``most`` are further apart than that, and needn't meet."""
-    band = int(distance / (most + 1e-9))
-    some = np.array(keys, dtype=np.int64).view(np.uint64)
-    return np.concatenate([mix(some + np.uint64(x)) for x in (band, band + 1)]).view(np.int64).tolist()
-
-
 def compared(pairs: DataFrame, similarity: float) -> DataFrame:
-    """a, b, splits of the pairs (a, b, text_a, text_b, splits, meet), whether they are linked where they ``meet``, and where a splits a bucket the keys of what b has and a hasn't, and the reverse."""
+    """a, b, splits of the pairs (a, b, text_a, text_b, splits, meet), whether they are linked where they ``meet``, and where a splits a bucket the keys of how b differs from it."""
 
     def parsed(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         out = []
@@ -211,8 +233,7 @@ def compared(pairs: DataFrame, similarity: float) -> DataFrame:
                         n = max(len(words_a), len(words_b))
                         good = edits_within(words_a, words_b, int((1 - similarity) * n + 1e-9)) is not None
                     link.append(good)
-                    lacks = set_a[~np.isin(set_a, set_b, assume_unique=True)] if splits[i] and len(set_b) - same <= OWN * len(set_b) else set_a[:0]
-                    keys.append(banded(rest_keys(set_b[~common], centres[i]) + rest_keys(lacks, centres[i], 1), 1 - same / max(1, len(set_a) + len(set_b) - same), 1 - similarity) if splits[i] else [])
+                    keys.append(rest_keys(set_b[~common], np.setdiff1d(set_a, set_b, assume_unique=True), len(set_b), centres[i]) if splits[i] else [])
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), pa.array(link, pa.bool_()), pa.array(keys, pa.list_(pa.int64()))], ["a", "b", "splits", "link", "keys"])
 
     return pairs.select("a", "b", "text_a", "text_b", "splits", "meet").mapInArrow(run, "a long, b long, splits boolean, link boolean, keys array<long>")
@@ -282,7 +303,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", s
     folder = scratch(spark, "rounds")
     comp = spark.createDataFrame([], "node long, comp long")
     seats = nodes.select("node", F.explode("keys").alias("bucket"))
-    for turn in itertools.count():
+    while True:
         seats = stage(spark, _mixed(seats, comp), "seats")
         if not seats.take(1):
             break
@@ -290,16 +311,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", s
             texts = _texts(spark, docs, seats.select("node").distinct().join(nodes.select("node", "text_hash"), "node"))
         central = seats.groupBy("node").agg(F.sum("size").alias("central"))
         members = stage(spark, seats.join(central, "node"), "members")
-        n_centres = CENTRES[min(turn, len(CENTRES) - 1)]
         best = F.max(F.struct("central", F.xxhash64("node").alias("tie"), "node", "comp", "size")).alias("c")
-        centres = members.groupBy("bucket", F.when(F.col("size") > n_centres, F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(n_centres))).otherwise(F.col("node")).alias("share")).agg(best)
-        few = Window.partitionBy("bucket")  # its centres, n_centres at most
-        # Only the most central one splits a bucket, and only if two members or more are no centres.
-        splits = (F.col("c") == F.col("lead_")) & (F.col("c.size") > F.col("n_") + 1)
-        centres = centres.withColumns({"lead_": F.max("c").over(few), "n_": F.count("*").over(few)}).select("bucket", F.col("c.node").alias("a"), F.col("c.comp").alias("comp_a"), splits.alias("splits"))
+        centres = members.groupBy("bucket", F.when(F.col("size") <= SMALL, F.col("node")).alias("share")).agg(best)
+        centres = centres.select("bucket", F.col("c.node").alias("a"), F.col("c.comp").alias("comp_a"), (F.col("c.size") > SMALL).alias("splits"))
         # Nodes that are known to be linked don't meet, but what splits a bucket splits all of it.
         meet = F.col("comp") != F.col("comp_a")
-        pairs = members.join(centres, "bucket").where((F.col("node") != F.col("a")) & (meet | F.col("splits"))).groupBy("a", F.col("node").alias("b")).agg(F.max("splits").alias("splits"), F.max(meet).alias("meet"))
+        asked = (F.col("splits") & (F.col("node") != F.col("a"))) | (~F.col("splits") & (F.col("node") > F.col("a")) & meet)
+        pairs = members.join(centres, "bucket").where(asked).groupBy("a", F.col("node").alias("b")).agg(F.max("splits").alias("splits"), F.max(meet).alias("meet"))
         for done, flag in ((tried, "meet"), (owed, "splits")):
             if done is not None:
                 pairs = pairs.join(done.withColumn("done_", F.lit(True)), ["a", "b"], "left").withColumn(flag, F.col(flag) & F.col("done_").isNull()).drop("done_")
@@ -342,11 +360,18 @@ def _texts(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> DataFrame
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
-    """One row of ``docs`` of each class, all columns as they are."""
+    """One row of ``docs`` of each class, all columns as they are.
+
+    Of rows that agree in key and text the one stays whose other columns come
+    first as JSON text. Columns of any name, an empty table and null keys or
+    texts are as in ``near_duplicates``; texts are compared whole, however long.
+    """
     name = F.coalesce(F.col(key).cast("string"), F.lit("null"))
     kept = near_duplicates(spark, docs, key, similarity).where("keep").select(name.alias("near_key_"), F.col("text_hash").alias("near_text_"))
-    named = docs.withColumns({"near_key_": name, "near_text_": text_hash()})
-    return named.join(kept, ["near_key_", "near_text_"], "left_semi").dropDuplicates(["near_key_", "near_text_"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("near_row_"), name.alias("near_key_"), text_hash().alias("near_text_"))
+    others = [F.col(f"near_row_.`{c}`") for c in docs.columns if c not in (key, "text")]
+    one = F.min_by("near_row_", F.to_json(F.struct(*others))) if others else F.first("near_row_")
+    return named.join(kept, ["near_key_", "near_text_"], "left_semi").groupBy("near_key_", "near_text_").agg(one.alias("r")).select("r.*")
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
