@@ -6,27 +6,24 @@ they have in the text; so it agrees with a probability that falls with edits. Te
 few shingles have the least of these as keys besides, by which none is missed.
 Documents with the same words are one node, and nodes that share a key are a
 bucket. All members of a small bucket are compared with each other. Those of a
-larger one are compared with its centre, the most central member, whose keys'
-buckets hold most. What two members other than that may have in common is looked
-for in how they differ from the centre: the shingles that a member has and the
-centre hasn't, or that it lacks, give REST keys, by which the bucket is split into
-smaller ones for the next round. So a passage that many documents share, or the
-text that a family of copies comes from, is compared once and then left out.
-Rounds go on until no bucket holds two nodes that aren't known to be linked and
-haven't been compared or split.
+larger one are compared with one of them only, its centre, the member nearest to what most
+of them have in common. What others may share with each other is then looked for in
+how they differ from that: the shingles that a member has and most haven't, or
+that it lacks and most have, rarest first, are the keys by which a bucket is split for the next
+round. So neither a passage that many documents share nor the text that a
+family of copies comes from is met again. No such key is shared by more than half of the
+bucket, and most are by a few, so buckets end after a few rounds.
 
 A link needs shared five-word shingles of SIMILARITY (Jaccard) or more, and an
 alignment of the words within the band of 1 - SIMILARITY with as few edits.
 
-What a split may lose: of two texts of equal length that just make a link, at most
-1/9 of the shingles of either isn't the other's. If neither is linked to the centre,
-at least as much tells each from it, so their differences from the centre agree by
-1/3 or more. Where at least OWN of a text isn't the centre's, the shingles of its own alone do:
-by (OWN - 1/9) / (OWN + 1/9), 0.38. REST keys, of the least by hash, then miss them with
-(2/3) ** REST, 2e-6, at worst. A member that is nearly the centre's text differs from it by few
-shingles, all of which are keys, and meets one that is just not linked to the centre by the share
-they have in that one's: at 1/10 of them 0.9 ** REST, 3%, are missed in one such bucket. Two that
-make a link share 8 of the 20 first buckets on average, with other centres.
+Splitting is a prefix filter. Two texts that make a link differ by a quarter of either's shingles
+at most. So a member with more than that which no other of its bucket has (or
+lacks) is linked to none of them; any other, if what it differs by is no more
+than what it may differ from a partner by, is linked through the centre, which is
+nearer still to what is common; and else a partner shares one of its rarest, as many as it may lack and
+one more. Differences are counted in the SAMPLE least shingles by hash, with four standard
+deviations allowed for; texts of no more than SAMPLE shingles are counted whole.
 """
 
 from __future__ import annotations
@@ -37,17 +34,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.llm.common import Words, in_bitmap, key_bitmap, mix, powers, scratch, stage, table, text_chunks
 
 K, SIMILARITY = 5, 0.8
 SKETCHES, LEAST = 20, 4
-#: Keys from how a member differs from its bucket's centre; members of a bucket that are all compared with each other.
-REST, SMALL = 32, 4
-#: A member with a larger part than this that the centre lacks shares enough of that with all it is linked with; what all lack alike would only gather them again.
-OWN = 0.25
+#: Shingles of a text by which its bucket is split; members of a bucket that are all compared with each other.
+SAMPLE, SMALL = 160, 16
 #: Texts of so few distinct shingles meet all that they may be linked with: the least of their shingles are keys too.
 SHORT = 20
 
@@ -190,19 +185,8 @@ def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     return None
 
 
-def rest_keys(own: np.ndarray, lacks: np.ndarray, n: int, centre: int) -> list[int]:
-    """The keys of a member of ``n`` shingles by those that are its ``own`` and, unless they are OWN of it, those of the centre that it ``lacks``: the REST least of them, in an order of this centre's, or all."""
-    seed = mix(np.full(1, centre, dtype=np.uint64))
-    turned = mix(own + mix(seed))
-    if len(own) < OWN * n:
-        turned = np.concatenate([turned, mix(lacks + mix(seed + np.uint64(1)))])
-    if len(turned) > REST:
-        turned = np.partition(turned, REST - 1)[:REST]
-    return turned.view(np.int64).tolist()
-
-
 def compared(pairs: DataFrame, similarity: float) -> DataFrame:
-    """a, b, splits of the pairs (a, b, text_a, text_b, splits, meet), whether they are linked where they ``meet``, and where a splits a bucket the keys of how b differs from it."""
+    """a, b of those pairs (a, b, text_a, text_b) that are linked."""
 
     def parsed(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         out = []
@@ -218,25 +202,41 @@ def compared(pairs: DataFrame, similarity: float) -> DataFrame:
         for whole in rows:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                centres, splits, meet = (batch.column(i).to_pylist() for i in (0, 4, 5))
-                # Rows come sorted by a, so a centre is taken apart once.
+                centres = batch.column(0).to_pylist()
+                # Where rows of a centre stand together, it is taken apart once.
                 new = [i for i, c in enumerate(centres) if not i or c != centres[i - 1]]
                 texts_a = parsed(batch.column(2).take(pa.array(new)))
-                of = np.cumsum([i in set(new) for i in range(len(centres))]) - 1
-                link, keys = [], []
+                of = np.cumsum(np.isin(np.arange(len(centres)), new)) - 1
+                link = []
                 for i, (words_b, set_b) in enumerate(parsed(batch.column(3))):
                     words_a, set_a = texts_a[of[i]]
-                    common = np.isin(set_b, set_a, assume_unique=True)
-                    same = int(common.sum())
-                    good = meet[i] and same >= similarity * (len(set_a) + len(set_b) - same)
+                    same = int(np.isin(set_b, set_a, assume_unique=True).sum())
+                    good = same > 0 and same >= similarity * (len(set_a) + len(set_b) - same)
                     if good:
-                        n = max(len(words_a), len(words_b))
-                        good = edits_within(words_a, words_b, int((1 - similarity) * n + 1e-9)) is not None
+                        good = edits_within(words_a, words_b, int((1 - similarity) * max(len(words_a), len(words_b)) + 1e-9)) is not None
                     link.append(good)
-                    keys.append(rest_keys(set_b[~common], np.setdiff1d(set_a, set_b, assume_unique=True), len(set_b), centres[i]) if splits[i] else [])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), pa.array(link, pa.bool_()), pa.array(keys, pa.list_(pa.int64()))], ["a", "b", "splits", "link", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(link, pa.bool_()))
+
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def sampled(texts: DataFrame) -> DataFrame:
+    """node, groups, xs, upto of texts (node, groups, text): the SAMPLE least shingles, sorted, and the least value that isn't known to be absent (none: all are known)."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for a, b in text_chunks(batch.column(2)):
+                words = Words(batch.column(2).slice(a, b - a))
+                at, grams = words.grams(K, words.doc_of())
+                first = np.searchsorted(at, words.first)
+                xs, upto = [], []
+                for i in range(b - a):
+                    own = np.unique(mix(grams[first[i] : first[i + 1]]).view(np.int64))
+                    xs.append(own[:SAMPLE])
+                    upto.append(int(own[SAMPLE]) if len(own) > SAMPLE else None)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(xs, pa.list_(pa.int64())), pa.array(upto, pa.int64())], ["node", "groups", "xs", "upto"])
 
-    return pairs.select("a", "b", "text_a", "text_b", "splits", "meet").mapInArrow(run, "a long, b long, splits boolean, link boolean, keys array<long>")
+    return texts.select("node", "groups", "text").mapInArrow(run, "node long, groups array<long>, xs array<long>, upto long")
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -284,6 +284,44 @@ def _mixed(seats: DataFrame, comp: DataFrame) -> DataFrame:
     return seats.join(sizes, "bucket")
 
 
+def _grouped(many: DataFrame, first: bool) -> DataFrame:
+    """(group, node) of large buckets' seats. At first those with the same most central member are one group, as a family's keys give much the same bucket many times; later each is its own, a half of the one before at most."""
+    if not first:
+        return many.select(F.col("bucket").alias("group"), "node")
+    central = many.groupBy("node").agg(F.sum("size").alias("central"))
+    lead = many.join(central, "node").groupBy("bucket").agg(F.max_by("node", F.struct("central", F.xxhash64("node"))).alias("group"))
+    return many.join(lead, "bucket").select("group", "node").distinct()
+
+
+def _differences(spark: SparkSession, members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """group, node, near, keys of members (group, node): how alike a member is to what most of its group have, and keys of where it differs from that."""
+    wanted = members.groupBy("node").agg(F.collect_list("group").alias("groups"))
+    parsed = sampled(texts.join(wanted, "node")).select(F.explode("groups").alias("group"), "node", "xs", "upto")
+    size = members.groupBy("group").agg(F.count("*").alias("size"))
+    each = parsed.join(size, "group").select("group", "node", "upto", "size", F.size("xs").alias("m"), F.explode("xs").alias("x"))
+    each = stage(spark, each.withColumn("n", F.count("*").over(Window.partitionBy("group", "x"))), "counted")
+    most = F.col("n") * 2 > F.col("size")
+    # More than half of the members have them, and each has SAMPLE at most, so they are 2 * SAMPLE at most.
+    common = each.where(most).groupBy("group").agg(F.collect_set(F.struct("x", (F.col("size") - F.col("n")).alias("n"))).alias("common"))
+    mine = each.groupBy("group", "node").agg(F.first("upto").alias("upto"), F.first("m").alias("m"), F.collect_list(F.when(~most, F.struct("n", "x", F.lit(0).alias("side")))).alias("own"), F.collect_list(F.when(most, F.col("x"))).alias("has"))
+    mine = mine.join(common, "group", "left")
+    lacking = F.filter(F.coalesce("common", F.array().cast("array<struct<x: long, n: long>>")), lambda c: (F.col("upto").isNull() | (c["x"] < F.col("upto"))) & ~F.array_contains("has", c["x"]))
+    differs = F.concat("own", F.transform(lacking, lambda c: F.struct(c["n"].alias("n"), c["x"].alias("x"), F.lit(1).alias("side"))))
+    mine = mine.select("group", "node", "m", "upto", F.sort_array(differs).alias("differs"))
+    share = 1 / similarity - 1
+    budget = F.floor(share * F.col("m") + F.when(F.col("upto").isNull(), 0.0).otherwise(4 * F.sqrt((1 - similarity) * F.col("m")))) + 1
+    alone = F.size(F.filter("differs", lambda d: d["n"] < 2))
+    keys = F.when(alone < budget, F.slice(F.filter("differs", lambda d: d["n"] >= 2), F.lit(1), (budget - alone).cast("int"))).otherwise(F.slice("differs", 1, 0))
+    return mine.select("group", "node", (-F.size("differs")).alias("near"), F.transform(keys, lambda k: F.xxhash64("group", k["x"], k["side"])).alias("keys"))
+
+
+def _unlinked(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) that aren't known to be of one component."""
+    for side in ("a", "b"):
+        pairs = pairs.join(comp.select(F.col("node").alias(side), F.col("comp").alias(f"{side}_")), side, "left")
+    return pairs.where(F.coalesce("a_", "a") != F.coalesce("b_", "b")).select("a", "b")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """``key``, class_id, keep, text_hash of every row: the classes that links make, as above.
 
@@ -299,7 +337,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", s
     nodes = rows.groupBy("h1", "h2").agg(F.min(best).alias("best"), F.min_by("text_hash", "row_").alias("text_hash"), F.min_by("n_shingles", "row_").alias("n"), F.min_by("keys", "row_").alias("keys"))
     nodes = stage(spark, nodes.withColumn("node", F.col("best.r")), "nodes")
 
-    texts = tried = owed = kept = None
+    texts = tried = None
     folder = scratch(spark, "rounds")
     comp = spark.createDataFrame([], "node long, comp long")
     seats = nodes.select("node", F.explode("keys").alias("bucket"))
@@ -307,38 +345,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", s
         seats = stage(spark, _mixed(seats, comp), "seats")
         if not seats.take(1):
             break
-        if texts is None:
+        first = texts is None
+        if first:
             texts = _texts(spark, docs, seats.select("node").distinct().join(nodes.select("node", "text_hash"), "node"))
-        central = seats.groupBy("node").agg(F.sum("size").alias("central"))
-        members = stage(spark, seats.join(central, "node"), "members")
-        best = F.max(F.struct("central", F.xxhash64("node").alias("tie"), "node", "comp", "size")).alias("c")
-        centres = members.groupBy("bucket", F.when(F.col("size") <= SMALL, F.col("node")).alias("share")).agg(best)
-        centres = centres.select("bucket", F.col("c.node").alias("a"), F.col("c.comp").alias("comp_a"), (F.col("c.size") > SMALL).alias("splits"))
-        # Nodes that are known to be linked don't meet, but what splits a bucket splits all of it.
-        meet = F.col("comp") != F.col("comp_a")
-        asked = (F.col("splits") & (F.col("node") != F.col("a"))) | (~F.col("splits") & (F.col("node") > F.col("a")) & meet)
-        pairs = members.join(centres, "bucket").where(asked).groupBy("a", F.col("node").alias("b")).agg(F.max("splits").alias("splits"), F.max(meet).alias("meet"))
-        for done, flag in ((tried, "meet"), (owed, "splits")):
-            if done is not None:
-                pairs = pairs.join(done.withColumn("done_", F.lit(True)), ["a", "b"], "left").withColumn(flag, F.col(flag) & F.col("done_").isNull()).drop("done_")
-        pairs = stage(spark, pairs.where("meet or splits"), "pairs")
+        few, many = seats.where(F.col("size") <= SMALL), seats.where(F.col("size") > SMALL)
+        other = few.select("bucket", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
+        pairs = few.withColumnRenamed("node", "a").join(other, "bucket").where("a < b and comp != comp_b").select("a", "b")
+        groups = None
+        if many.take(1):
+            groups = stage(spark, _differences(spark, _grouped(many, first), texts, similarity), "groups")
+            centres = groups.groupBy("group").agg(F.max_by("node", F.struct("near", F.xxhash64("node"))).alias("a"))
+            compare = groups.select("group", F.col("node").alias("b")).join(centres, "group").where("a != b").select("a", "b")
+            pairs = pairs.union(_unlinked(compare, comp))
+        pairs = pairs.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = stage(spark, pairs.select("a", "b"), "pairs")
         with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         with_both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        found = stage(spark, compared(with_both, similarity), "compared")
-        done = pairs.where("meet").select("a", "b")
-        tried = _added(spark, done, f"{folder}/tried")
-        new = found.where("link").select("a", "b")
-        if new.take(1):
-            comp = stage(spark, joined(spark, comp, new), "components")
-        # Keys are owed in buckets that still hold nodes that aren't linked, to all members by the same centre.
-        still = _mixed(seats.select("node", "bucket"), comp).join(centres.where("splits").select("bucket", "a"), "bucket")
-        due = found.where("splits").join(still.where("node != a").select("a", F.col("node").alias("b")).distinct(), ["a", "b"])
-        due = stage(spark, due.select("a", "b", "keys"), "due")
-        fresh = stage(spark, due.select(F.col("b").alias("node"), F.explode("keys").alias("bucket")), "fresh")
-        # A bucket that gets a new member has its former ones again.
-        seats = fresh if kept is None else fresh.union(kept.join(fresh.select("bucket").distinct(), "bucket", "left_semi").select("node", "bucket"))
-        owed = _added(spark, due.select("a", "b"), f"{folder}/owed")
-        kept = _added(spark, fresh, f"{folder}/kept")
+        links = stage(spark, compared(with_both, similarity), "links")
+        if links.take(1):
+            comp = stage(spark, joined(spark, comp, links), "components")
+        if groups is None:
+            break
+        tried = _added(spark, pairs, f"{folder}/tried")
+        seats = stage(spark, groups.join(centres, "group").where("node != a").select("node", F.explode("keys").alias("bucket")), "fresh")
 
     named = nodes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     classes = named.groupBy("comp").agg(F.min("best").alias("class"))
