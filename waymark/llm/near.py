@@ -18,12 +18,15 @@ A link needs shared five-word shingles of SIMILARITY (Jaccard) or more, and an
 alignment of the words within the band of 1 - SIMILARITY with as few edits.
 
 Splitting is a prefix filter. Two texts that make a link differ by a quarter of either's shingles
-at most. So a member with more than that which no other of its bucket has (or
-lacks) is linked to none of them; any other, if what it differs by is no more
-than what it may differ from a partner by, is linked through the centre, which is
-nearer still to what is common; and else a partner shares one of its rarest, as many as it may lack and
-one more. Differences are counted in the SAMPLE least shingles by hash, with four standard
-deviations allowed for; texts of no more than SAMPLE shingles are counted whole.
+at most. And two that aren't known to be linked, of which one isn't linked to the centre, share
+half of what tells either from what is common, but for half of what tells the
+centre from it: else the two would differ by more than texts do that make a link. So of the
+shingles that tell a member, rarest first and those first that no other has, the
+first half or the first quarter of its size are enough to meet a partner by.
+Differences are counted in the SAMPLE least shingles by hash, with four (for a quarter) or two (for
+half) standard deviations allowed for; texts of no more than SAMPLE shingles are counted whole.
+What is lost is what lies beyond these; and texts that have the same shingles in
+another order, which the alignment parts, only count as linked to the centre here.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.llm.common import Words, in_bitmap, key_bitmap, mix, powers, scratch, stage, table, text_chunks
@@ -42,7 +45,7 @@ from waymark.llm.common import Words, in_bitmap, key_bitmap, mix, powers, scratc
 K, SIMILARITY = 5, 0.8
 SKETCHES, LEAST = 20, 4
 #: Shingles of a text by which its bucket is split; members of a bucket that are all compared with each other.
-SAMPLE, SMALL = 160, 16
+SAMPLE, SMALL = 160, 8
 #: Texts of so few distinct shingles meet all that they may be linked with: the least of their shingles are keys too.
 SHORT = 20
 
@@ -293,26 +296,51 @@ def _grouped(many: DataFrame, first: bool) -> DataFrame:
     return many.join(lead, "bucket").select("group", "node").distinct()
 
 
-def _differences(spark: SparkSession, members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """group, node, near, keys of members (group, node): how alike a member is to what most of its group have, and keys of where it differs from that."""
+def _members(spark: SparkSession, members: DataFrame, texts: DataFrame) -> DataFrame:
+    """group, node, size (of the group), xs, upto, common of members (group, node): ``common`` are the shingles (x) that more than half have, and how many haven't (n)."""
     wanted = members.groupBy("node").agg(F.collect_list("group").alias("groups"))
     parsed = sampled(texts.join(wanted, "node")).select(F.explode("groups").alias("group"), "node", "xs", "upto")
     size = members.groupBy("group").agg(F.count("*").alias("size"))
-    each = parsed.join(size, "group").select("group", "node", "upto", "size", F.size("xs").alias("m"), F.explode("xs").alias("x"))
-    each = stage(spark, each.withColumn("n", F.count("*").over(Window.partitionBy("group", "x"))), "counted")
-    most = F.col("n") * 2 > F.col("size")
-    # More than half of the members have them, and each has SAMPLE at most, so they are 2 * SAMPLE at most.
-    common = each.where(most).groupBy("group").agg(F.collect_set(F.struct("x", (F.col("size") - F.col("n")).alias("n"))).alias("common"))
-    mine = each.groupBy("group", "node").agg(F.first("upto").alias("upto"), F.first("m").alias("m"), F.collect_list(F.when(~most, F.struct("n", "x", F.lit(0).alias("side")))).alias("own"), F.collect_list(F.when(most, F.col("x"))).alias("has"))
-    mine = mine.join(common, "group", "left")
-    lacking = F.filter(F.coalesce("common", F.array().cast("array<struct<x: long, n: long>>")), lambda c: (F.col("upto").isNull() | (c["x"] < F.col("upto"))) & ~F.array_contains("has", c["x"]))
-    differs = F.concat("own", F.transform(lacking, lambda c: F.struct(c["n"].alias("n"), c["x"].alias("x"), F.lit(1).alias("side"))))
-    mine = mine.select("group", "node", "m", "upto", F.sort_array(differs).alias("differs"))
-    share = 1 / similarity - 1
-    budget = F.floor(share * F.col("m") + F.when(F.col("upto").isNull(), 0.0).otherwise(4 * F.sqrt((1 - similarity) * F.col("m")))) + 1
-    alone = F.size(F.filter("differs", lambda d: d["n"] < 2))
-    keys = F.when(alone < budget, F.slice(F.filter("differs", lambda d: d["n"] >= 2), F.lit(1), (budget - alone).cast("int"))).otherwise(F.slice("differs", 1, 0))
-    return mine.select("group", "node", (-F.size("differs")).alias("near"), F.transform(keys, lambda k: F.xxhash64("group", k["x"], k["side"])).alias("keys"))
+    parsed = stage(spark, parsed.join(size, "group"), "parsed")
+    n = parsed.select("group", "size", F.explode("xs").alias("x")).groupBy("group", "x").agg(F.count("*").alias("n"), F.first("size").alias("size")).where("n * 2 > size")
+    # Each member has SAMPLE at most, so they are 2 * SAMPLE at most.
+    common = n.groupBy("group").agg(F.collect_list(F.struct("x", (F.col("size") - F.col("n")).alias("n"))).alias("common"))
+    none = F.array().cast("array<struct<x: long, n: long>>")
+    return stage(spark, parsed.join(common, "group", "left").withColumn("common", F.coalesce("common", none)), "members")
+
+
+def _lacks() -> Column:
+    """What a member of ``_members`` lacks of its group's common shingles, as far as its sample tells."""
+    return F.filter("common", lambda c: (F.col("upto").isNull() | (c["x"] < F.col("upto"))) & ~F.array_contains("xs", c["x"]))
+
+
+def _own() -> Column:
+    return F.array_except("xs", F.transform("common", lambda c: c["x"]))
+
+
+def _keys(members: DataFrame, centres: DataFrame, comp: DataFrame, similarity: float) -> DataFrame:
+    """node, bucket: the keys of the members (but the centre) of groups in which not all are known to be linked, by where they differ from what is common.
+
+    A difference that only members share which are known to be linked is of no
+    use, and no partner that is still to be found has it.
+    """
+    m = members.join(centres, "group").where("node != a").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    open_ = m.groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("group")
+    m = m.join(open_, "group")
+    each = m.select("group", "node", "comp", F.explode_outer(_own()).alias("x"))
+    of = Window.partitionBy("group", "x")
+    each = each.withColumns({"n": F.count("*").over(of), "mixed": F.min("comp").over(of) < F.max("comp").over(of)})
+    own = each.groupBy("group", "node").agg(F.collect_list(F.when(F.col("mixed") & F.col("x").isNotNull(), F.struct("n", "x", F.lit(0).alias("side")))).alias("shared"), F.count_if(~F.col("mixed") & F.col("x").isNotNull()).alias("alone"))
+    lacks = F.transform(_lacks(), lambda c: F.struct(c["n"].alias("n"), c["x"].alias("x"), F.lit(1).alias("side")))
+    m = m.select("group", "node", "x_a", "m_a", F.size("xs").alias("m"), "upto", lacks.alias("lacks")).join(own, ["group", "node"])
+    differs = F.col("alone") + F.size("shared") + F.size("lacks")
+    noise = lambda sd, x: F.when(F.col("upto").isNull(), 0.0).otherwise(sd * F.sqrt(x))
+    most = (1 / similarity - 1) * F.col("m") + noise(4, (1 - similarity) * F.col("m"))
+    # Half of what tells a member from the common, and half of what tells the centre from it.
+    half = (differs + F.col("x_a") + F.greatest(F.lit(0.0), (F.col("m") - F.col("m_a")) * ((1 - similarity) / (1 + similarity)))) / 2 + noise(2, differs)
+    left = F.floor(F.least(most, half)) + 1 - F.col("alone") - F.size(F.filter("lacks", lambda d: d["n"] < 2))
+    rarest = F.slice(F.sort_array(F.concat("shared", F.filter("lacks", lambda d: d["n"] >= 2))), F.lit(1), F.greatest(F.lit(0), left).cast("int"))
+    return m.select("node", F.explode(F.transform(rarest, lambda k: F.xxhash64("group", k["x"], k["side"]))).alias("bucket"))
 
 
 def _unlinked(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -351,11 +379,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", s
         few, many = seats.where(F.col("size") <= SMALL), seats.where(F.col("size") > SMALL)
         other = few.select("bucket", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
         pairs = few.withColumnRenamed("node", "a").join(other, "bucket").where("a < b and comp != comp_b").select("a", "b")
-        groups = None
+        members = None
         if many.take(1):
-            groups = stage(spark, _differences(spark, _grouped(many, first), texts, similarity), "groups")
-            centres = groups.groupBy("group").agg(F.max_by("node", F.struct("near", F.xxhash64("node"))).alias("a"))
-            compare = groups.select("group", F.col("node").alias("b")).join(centres, "group").where("a != b").select("a", "b")
+            members = _members(spark, _grouped(many, first), texts)
+            near = -F.size(_own()) - F.size(_lacks())
+            best = F.max(F.struct(near.alias("near"), F.xxhash64("node").alias("tie"), F.col("node").alias("a"), F.size("xs").alias("m_a"))).alias("c")
+            centres = stage(spark, members.groupBy("group").agg(best).select("group", "c.a", (-F.col("c.near")).alias("x_a"), "c.m_a"), "centres")
+            compare = members.select("group", F.col("node").alias("b")).join(centres, "group").where("a != b").select("a", "b")
             pairs = pairs.union(_unlinked(compare, comp))
         pairs = pairs.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct()
         if tried is not None:
@@ -366,10 +396,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", s
         links = stage(spark, compared(with_both, similarity), "links")
         if links.take(1):
             comp = stage(spark, joined(spark, comp, links), "components")
-        if groups is None:
+        if members is None:
             break
         tried = _added(spark, pairs, f"{folder}/tried")
-        seats = stage(spark, groups.join(centres, "group").where("node != a").select("node", F.explode("keys").alias("bucket")), "fresh")
+        seats = stage(spark, _keys(members, centres, comp, similarity), "fresh")
 
     named = nodes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     classes = named.groupBy("comp").agg(F.min("best").alias("class"))
