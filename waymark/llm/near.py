@@ -17,14 +17,14 @@ bucket, and most are by a few, so buckets end after a few rounds.
 A link needs shared five-word shingles of SIMILARITY (Jaccard) or more, and an
 alignment of the words within the band of 1 - SIMILARITY with as few edits.
 
-Splitting is a prefix filter. Two texts that make a link differ by a quarter of either's shingles
-at most. And two that aren't known to be linked, of which one isn't linked to the centre, share
-half of what tells either from what is common, but for half of what tells the
-centre from it: else the two would differ by more than texts do that make a link. So of the
-shingles that tell a member, rarest first and those first that no other has, the
-first half or the first quarter of its size are enough to meet a partner by.
-Differences are counted in the SAMPLE least shingles by hash, with four (for a quarter) or two (for
-half) standard deviations allowed for; texts of no more than SAMPLE shingles are counted whole.
+Splitting is a prefix filter. Of two texts that make a link, neither has more than a fifth of its
+shingles that the other lacks. And two that aren't known to be linked, of which one isn't linked to the
+centre, share half of what tells either from what is common, but for half of what tells the
+centre from it: else they would differ by more than texts do that make a link. So
+a member meets its partners by the rarest of its shingles that most haven't, a fifth of all that it has and
+one more, those first that no other has; or by the rarest half of what tells it.
+Differences are counted in the SAMPLE least shingles by hash, with two (for a fifth) or one (for a
+half) standard deviation allowed for; texts of no more than SAMPLE shingles are counted whole.
 What is lost is what lies beyond these; and texts that have the same shingles in
 another order, which the alignment parts, only count as linked to the centre here.
 """
@@ -45,7 +45,7 @@ from waymark.llm.common import Words, in_bitmap, key_bitmap, mix, powers, scratc
 K, SIMILARITY = 5, 0.8
 SKETCHES, LEAST = 20, 4
 #: Shingles of a text by which its bucket is split; members of a bucket that are all compared with each other.
-SAMPLE, SMALL = 160, 8
+SAMPLE, SMALL = 192, 8
 #: Texts of so few distinct shingles meet all that they may be linked with: the least of their shingles are keys too.
 SHORT = 20
 
@@ -333,13 +333,17 @@ def _keys(members: DataFrame, centres: DataFrame, comp: DataFrame, similarity: f
     own = each.groupBy("group", "node").agg(F.collect_list(F.when(F.col("mixed") & F.col("x").isNotNull(), F.struct("n", "x", F.lit(0).alias("side")))).alias("shared"), F.count_if(~F.col("mixed") & F.col("x").isNotNull()).alias("alone"))
     lacks = F.transform(_lacks(), lambda c: F.struct(c["n"].alias("n"), c["x"].alias("x"), F.lit(1).alias("side")))
     m = m.select("group", "node", "x_a", "m_a", F.size("xs").alias("m"), "upto", lacks.alias("lacks")).join(own, ["group", "node"])
-    differs = F.col("alone") + F.size("shared") + F.size("lacks")
     noise = lambda sd, x: F.when(F.col("upto").isNull(), 0.0).otherwise(sd * F.sqrt(x))
-    most = (1 / similarity - 1) * F.col("m") + noise(4, (1 - similarity) * F.col("m"))
+    # A text has so many shingles at most that one it makes a link with lacks.
+    fifth = (1 - similarity) * F.col("m") + noise(2, similarity * (1 - similarity) * F.col("m"))
+    differs = F.col("alone") + F.size("shared") + F.size("lacks")
     # Half of what tells a member from the common, and half of what tells the centre from it.
-    half = (differs + F.col("x_a") + F.greatest(F.lit(0.0), (F.col("m") - F.col("m_a")) * ((1 - similarity) / (1 + similarity)))) / 2 + noise(2, differs)
-    left = F.floor(F.least(most, half)) + 1 - F.col("alone") - F.size(F.filter("lacks", lambda d: d["n"] < 2))
-    rarest = F.slice(F.sort_array(F.concat("shared", F.filter("lacks", lambda d: d["n"] >= 2))), F.lit(1), F.greatest(F.lit(0), left).cast("int"))
+    half = (differs + F.col("x_a") + F.greatest(F.lit(0.0), (F.col("m") - F.col("m_a")) * ((1 - similarity) / (1 + similarity)))) / 2 + noise(1, differs)
+    by_own = F.col("alone") + F.size("shared") > fifth
+    lone = F.when(by_own, 0).otherwise(F.size(F.filter("lacks", lambda d: d["n"] < 2)))
+    left = F.floor(F.when(by_own, F.least(fifth, half)).otherwise(half)) + 1 - F.col("alone") - lone
+    some = F.when(by_own, F.col("shared")).otherwise(F.concat("shared", F.filter("lacks", lambda d: d["n"] >= 2)))
+    rarest = F.slice(F.sort_array(some), F.lit(1), F.greatest(F.lit(0), left).cast("int"))
     return m.select("node", F.explode(F.transform(rarest, lambda k: F.xxhash64("group", k["x"], k["side"]))).alias("bucket"))
 
 
