@@ -326,7 +326,8 @@ def _keys(members: DataFrame, centres: DataFrame, comp: DataFrame, similarity: f
     """
     m = members.join(centres, "group").where("node != a").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     open_ = m.groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("group")
-    m = m.join(open_, "group")
+    # Dealt out by member: a large group is in no one task.
+    m = m.join(open_, "group").repartition("group", "node")
     each = m.select("group", "node", "comp", F.explode_outer(_own()).alias("x"))
     of = Window.partitionBy("group", "x")
     each = each.withColumns({"n": F.count("*").over(of), "mixed": F.min("comp").over(of) < F.max("comp").over(of)})
