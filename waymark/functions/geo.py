@@ -41,8 +41,14 @@ def in_bbox(lat: Column, lon: Column, bbox: tuple[float, float, float, float]) -
 def within_radius(lat: Column, lon: Column, lat0: float, lon0: float, metres: float) -> Column:
     """A box that the scan can skip by, then the true distance."""
     d_lat = math.degrees(metres / EARTH_RADIUS_M)
-    d_lon = min(180.0, d_lat / max(1e-6, math.cos(math.radians(min(89.9, abs(lat0) + d_lat)))))
-    box = in_bbox(lat, lon, (lon0 - d_lon, lat0 - d_lat, lon0 + d_lon, lat0 + d_lat))
+    d_lon = d_lat / max(1e-6, math.cos(math.radians(min(89.9, abs(lat0) + d_lat)))) if abs(lat0) + d_lat < 89.9 else 180.0
+    west, east, south, north = lon0 - d_lon, lon0 + d_lon, lat0 - d_lat, lat0 + d_lat
+    if d_lon >= 180:
+        box = (lat >= south) & (lat <= north)
+    elif west < -180 or east > 180:  # across the date line: two boxes
+        box = in_bbox(lat, lon, ((west + 180) % 360 - 180, south, 180, north)) | in_bbox(lat, lon, (-180, south, (east + 180) % 360 - 180, north))
+    else:
+        box = in_bbox(lat, lon, (west, south, east, north))
     return box & (haversine_m(lat, lon, F.lit(lat0), F.lit(lon0)) <= metres)
 
 
@@ -128,6 +134,11 @@ def speed_to_mps(value: Column, unit: Column) -> Column:
     return value * F.when(F.upper(unit) == "M", 0.44704).when(F.upper(unit) == "N", 1852 / 3600).otherwise(1 / 3.6)
 
 
+def signed_altitude(value: Column, ref: Column) -> Column:
+    """Metres above the sea, below it where the reference says 1."""
+    return F.when(ref == 1, -value).otherwise(value)
+
+
 def semicircles_to_deg(value: Column) -> Column:
     return value * (180.0 / 2**31)
 

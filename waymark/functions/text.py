@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Spellings of activity types, and the travel mode of each.
@@ -41,7 +41,33 @@ def make_title(day: Column, countries: Column, city: Column, commute: Column) ->
 
 
 def looks_generated(title: Column) -> Column:
-    return title.rlike(r"(^| · )(\d{4}-)?\d{2}-\d{2}$")
+    """It begins with four digits or has a dot between spaces, so no one has written it by hand."""
+    return F.coalesce(title.rlike(r"^\d{4}") | F.contains(title, F.lit(" · ")), F.lit(False))
+
+
+def retitle(title: Column, made: Column, stamp: Column) -> Column:
+    """``made`` in place of a bare date or of a title that ends with the day's ``stamp`` (MM-dd); any other title stays."""
+    return F.when(made.isNotNull() & (title.rlike(r"^\d{4}-\d{2}-\d{2}$") | F.endswith(title, stamp)), made).otherwise(title)
+
+
+#: Parts of what a file says its track is, and the travel mode of each group; the first that occurs counts.
+DECLARED_WORDS = (
+    (("hik", "walk", "foot", "trek", "徒步", "步行"), "walk"),
+    (("run", "jog", "跑步"), "run"),
+    (("cycl", "bike", "biking", "ride", "骑行", "自行车"), "bike"),
+    (("driv", "car", "auto", "驾车", "汽车"), "car"),
+    (("train", "bus", "subway", "transit", "地铁", "公交"), "transit"),
+    (("fly", "flight", "plane", "飞行"), "flight"),
+)
+
+
+def declared_mode(kind: Column) -> Column:
+    """Mode of a declared kind of track; null where no part is known."""
+    text = F.lower(F.trim(kind))
+    out = F.lit(None).cast("string")
+    for parts, mode in reversed(DECLARED_WORDS):
+        out = F.when(text.rlike("|".join(parts)), F.lit(mode)).otherwise(out)
+    return out
 
 
 def infer_mode(median: Column, p95: Column, metres: Column, straight: Column, altitude: Column) -> Column:
@@ -60,3 +86,13 @@ def infer_mode(median: Column, p95: Column, metres: Column, straight: Column, al
     for holds, mode, sure in rules:
         out = out.when(holds, made(mode, sure, False))
     return out.otherwise(made("unknown", None, False))
+
+
+def with_stats(rows: DataFrame, fields: dict[str, str], column: str = "stats") -> DataFrame:
+    """``rows`` with their JSON text of statistics as a struct of these fields and types; what a row's text lacks is null."""
+    return rows.withColumn(column, F.from_json(column, ", ".join(f"`{k}` {t}" for k, t in fields.items())))
+
+
+def with_stat(stats: Column, key: str, value: Column) -> Column:
+    """The struct with one field set, new or not."""
+    return stats.withField(key, value)

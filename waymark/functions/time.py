@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from zoneinfo import available_timezones
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Names that Spark takes for a zone; those left out stand for no zone.
+ZONES = sorted(available_timezones() - {"Factory", "localtime"})
 _OFFSET = r"^UTC[+-](0\d|1[0-4]):[0-5]\d$"
 
 
 def known_zone(zone: Column) -> Column:
-    """The zone, or UTC where its name can't be one (Spark would fail on it)."""
-    return F.when(zone.rlike(_OFFSET) | zone.rlike(r"^(Africa|America|Antarctica|Asia|Atlantic|Australia|Europe|Indian|Pacific|Etc)/[A-Za-z0-9_+/-]+$"), zone).otherwise(F.lit("UTC"))
+    """The zone, or UTC where its name isn't one (Spark would fail on it)."""
+    return F.when(zone.isin(ZONES) | zone.rlike(_OFFSET), zone).otherwise(F.lit("UTC"))
 
 
 def to_local(ts: Column, zone: Column) -> Column:
@@ -46,9 +50,9 @@ def truncate_time(ts: Column, minutes: int = 15) -> Column:
 
 
 def offset_label(seconds: Column) -> Column:
-    """UTC+09:00 for 32400."""
+    """UTC+09:00 for 32400, UTC for 0."""
     a = F.abs(seconds)
-    return F.format_string("UTC%s%02d:%02d", F.when(seconds < 0, "-").otherwise("+"), F.floor(a / 3600).cast("int"), (F.floor(a / 60) % 60).cast("int"))
+    return F.when(seconds == 0, F.lit("UTC")).otherwise(F.format_string("UTC%s%02d:%02d", F.when(seconds < 0, "-").otherwise("+"), F.floor(a / 3600).cast("int"), (F.floor(a / 60) % 60).cast("int")))
 
 
 def overlaps(start: Column, end: Column, from_, to) -> Column:

@@ -42,18 +42,29 @@ def points_outside_intervals(points: DataFrame, covered: DataFrame) -> DataFrame
 def asof_both(left: DataFrame, right: DataFrame, values: list[str]) -> DataFrame:
     """Each left row (user_id, ts) with ``before`` (last right row at or before) and ``after`` (first one later): structs of ts and values."""
     tag = F.struct("ts", *values)
+    # Each side looks back only, in one order of time or the other: a running frame costs a step a row.
     both = left.withColumns({"r_": F.lit(None).cast(right.select(tag.alias("t")).schema["t"].dataType), "is_left_": F.lit(1)}).unionByName(
         right.select("user_id", "ts", tag.alias("r_"), F.lit(0).alias("is_left_")), allowMissingColumns=True)
-    back = Window.partitionBy("user_id").orderBy("ts", "is_left_").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("user_id").orderBy("ts", "is_left_").rowsBetween(1, Window.unboundedFollowing)
-    found = both.withColumns({"before": F.last("r_", ignorenulls=True).over(back), "after": F.first("r_", ignorenulls=True).over(ahead)})
+    back = Window.partitionBy("user_id").orderBy("ts", "is_left_", "r_").rowsBetween(Window.unboundedPreceding, 0)
+    # At equal times the left row comes first, so that what is after it is later.
+    ahead = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("is_left_"), F.desc("r_")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("before", F.last("r_", ignorenulls=True).over(back)).withColumn("after", F.last("r_", ignorenulls=True).over(ahead))
     return found.where("is_left_ = 1").select(*left.columns, "before", "after")
 
 
+def nearest_in_time(left: DataFrame, right: DataFrame, values: list[str], tolerance_s: float) -> DataFrame:
+    """Left rows (user_id, ts) with ``nearest``, the right row (ts, values) nearest in time, and ``apart_s``, where that is at most ``tolerance_s``; of two as near the earlier one."""
+    both = asof_both(left, right, values)
+    apart = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(micros(F.col("ts")) - micros(F.col(f"{c}.ts"))).alias("d"), F.lit(c == "after").alias("later"), F.col(c).alias("r")))
+    near = both.withColumn("near_", F.least(apart("before"), apart("after"))).where(F.col("near_.d") <= tolerance_s * 1e6)
+    return near.select(*left.columns, F.col("near_.r").alias("nearest"), (F.col("near_.d") / 1e6).alias("apart_s"))
+
+
 def near_in_time(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, tolerance_s: int) -> DataFrame:
     """Pairs of one user within ``tolerance_s``: buckets twice as wide, the right side in its own and both neighbours'."""
     width = 2 * tolerance_s * 1_000_000
-    placed = right.withColumn("bucket_", F.explode(F.array(*[F.floor((micros(F.col(right_ts)) + d * tolerance_s * 1_000_000) / width) for d in (-1, 1)]))).distinct()
+    around = F.array_distinct(F.array(*[F.floor((micros(F.col(right_ts)) + d * tolerance_s * 1_000_000) / width) for d in (-1, 1)]))
+    placed = right.withColumn("bucket_", F.explode(around))
     found = left.withColumn("bucket_", F.floor(micros(F.col(left_ts)) / width)).join(placed, ["user_id", "bucket_"])
     return found.where(F.abs(micros(F.col(left_ts)) - micros(F.col(right_ts))) <= tolerance_s * 1_000_000).drop("bucket_")
 
@@ -62,19 +73,23 @@ def eps_pairs(points: DataFrame, eps_m: float, keys: tuple[str, ...] = ("user_id
     """(keys, a, b) with a < b of points (keys, id, lat, lon) at most ``eps_m`` apart.
 
     Bands of latitude as high as eps; within one, cells wide enough for the
-    band's end nearer to the pole, so neighbours lie in the 3 x 3 cells around.
+    band's end nearer to the pole, so neighbours lie in the 3 x 3 cells around;
+    the last cell of a band is beside its first, across the date line.
     """
     step = math.degrees(eps_m / EARTH_RADIUS_M)
     row = F.floor((F.col("lat") + 90) / step)
 
-    def column(band, lon):
-        edge = F.greatest(F.abs((band * step) - 90), F.abs(((band + 1) * step) - 90))
-        return F.floor((lon + 180) / (step / F.greatest(F.lit(1e-6), F.cos(F.radians(F.least(F.lit(89.9), edge + step))))))
+    def cells(band):
+        """How many cells the band has; one where it touches a pole."""
+        edge = F.greatest(F.abs((band * step) - 90), F.abs(((band + 1) * step) - 90)) + step
+        return F.when(edge >= 89.9, F.lit(1).cast("long")).otherwise(F.greatest(F.lit(1).cast("long"), F.floor(360 * F.cos(F.radians(edge)) / step)))
 
-    home = points.select(*keys, F.col("id").alias("a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), row.alias("band_")).withColumn("cell_", column(F.col("band_"), F.col("lon_a")))
+    column = lambda n, lon: F.pmod(F.floor((lon + 180) / (360 / n)), n)
+    home = points.select(*keys, F.col("id").alias("a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), row.alias("band_")).withColumn("cell_", column(cells(F.col("band_")), F.col("lon_a")))
     # The other side stands in the bands around its own, in each by that band's step, and the cells beside.
-    around = points.select(*keys, F.col("id").alias("b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), F.explode(F.sequence(row - 1, row + 1)).alias("band_"))
-    around = around.withColumn("mid_", column(F.col("band_"), F.col("lon_b"))).withColumn("cell_", F.explode(F.sequence(F.col("mid_") - 1, F.col("mid_") + 1))).drop("mid_")
+    around = points.select(*keys, F.col("id").alias("b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), F.explode(F.sequence(row - 1, row + 1)).alias("band_")).withColumn("n_", cells(F.col("band_")))
+    beside = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(column(F.col("n_"), F.col("lon_b")) + d, F.col("n_"))))
+    around = around.withColumn("cell_", F.explode(beside)).drop("n_")
     met = home.join(around, [*keys, "band_", "cell_"]).where("a < b")
     d = haversine_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
     return met.where(d <= eps_m).select(*keys, "a", "b", d.alias("metres")).distinct()

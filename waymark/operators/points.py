@@ -29,9 +29,13 @@ def first_stored(points: DataFrame, order: list[str]) -> DataFrame:
     return keyed.groupBy("dedup_key").agg(F.min(best).alias("b")).select(*[F.col(f"b.c_{c}").alias(c) for c in keyed.columns])
 
 
-def insert_ignore(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """``existing`` and those rows of ``incoming`` whose keys are new, one of each."""
-    return existing.unionByName(incoming.join(existing.select(*keys), keys, "left_anti").dropDuplicates(keys))
+def insert_ignore(existing: DataFrame, incoming: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """``existing`` and those rows of ``incoming`` whose keys are new, one of each: the first in ``order``, else any."""
+    new = incoming.join(existing.select(*keys), keys, "left_anti").select(*incoming.columns)
+    if order is None:
+        return existing.unionByName(new.dropDuplicates(keys))
+    first = new.groupBy(*keys).agg(F.min_by(F.struct(*new.columns), F.struct(*order)).alias("r_")).select("r_.*")
+    return existing.unionByName(first)
 
 
 def prefer_accurate(points: DataFrame, keys: list[str], load_order: str) -> DataFrame:
@@ -68,9 +72,10 @@ def path_metrics(points: DataFrame, *tie: str, keys: tuple[str, ...] = ("user_id
 
 def elevation_gain(points: DataFrame, *tie: str) -> DataFrame:
     """gain_m of each user: the sum of rises between known altitudes, null where none is known."""
-    known = points.where("altitude_m is not null")
-    rise = F.greatest(F.lit(0.0), F.col("altitude_m") - F.lag("altitude_m").over(in_order(*tie)))
-    return known.withColumn("rise_", rise).groupBy("user_id").agg(F.coalesce(F.sum("rise_"), F.lit(0.0)).alias("gain_m"))
+    last = F.last("altitude_m", ignorenulls=True).over(in_order(*tie).rowsBetween(Window.unboundedPreceding, -1))
+    rise = F.greatest(F.lit(0.0), F.col("altitude_m") - last)
+    rise = F.when(F.col("altitude_m").isNotNull(), F.coalesce(F.when(last.isNotNull(), rise), F.lit(0.0)))
+    return points.withColumn("rise_", rise).groupBy("user_id").agg(F.sum("rise_").alias("gain_m"))
 
 
 def altitude_index(points: DataFrame) -> DataFrame:

@@ -2,26 +2,33 @@
 
 A stay grows from a ping while all its pings lie within the radius of their
 spherical mean; a long gap ends it only if its ends lie apart or it is longer
-than the longest stay that may be inferred. The scan is sequential, but two
-neighbours more than twice the radius apart, or parted by such a gap, are never
-in one stay, and the scan starts anew behind them. So each user's pings are cut
-into independent segments by window functions, and only segments as long as a
-stay are scanned, each as a group of its own.
+than the longest stay that may be inferred. The scan is sequential, so each
+user's pings are sorted within a partition and stream through it in Arrow
+batches. Two neighbours more than twice the radius apart, or parted by such a gap,
+are never in one stay, and the scan starts anew behind them; where the pings of
+the shortest stay already spread too far, array operations settle that none begins there.
+What is held in memory is the stay that is open, and no more.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import EARTH_RADIUS_M, haversine_m
 from waymark.functions.time import local_date, local_midnight_utc
-from waymark.operators.points import in_order, micros, seconds_between
+from waymark.operators.points import micros, seconds_between
 from waymark.params import Params
 
-SCANNED = "user_id long, is_stay boolean, start long, end long, lat double, lon double, radius_m double, point_count int, inferred_s double"
+_STAY = "user_id long, start long, end long, lat double, lon double, radius_m double, point_count int, inferred_s double, inferred_ratio double, source_kinds array<string>"
+SCANNED = f"is_stay boolean, {_STAY}"
+#: Pings of an unfinished segment that are held before it is scanned as far as it goes.
+HELD = 100_000
 
 
 def _metres(lat, lon, lats, lons):
@@ -30,92 +37,168 @@ def _metres(lat, lon, lats, lons):
     return 2 * EARTH_RADIUS_M * np.arcsin(np.minimum(1.0, np.sqrt(h)))
 
 
-def scan(ts: np.ndarray, lat: np.ndarray, lon: np.ndarray, p: Params) -> list[tuple]:
-    """(is_stay, first, last, lat, lon, radius, inferred seconds) over one segment; ts in microseconds.
+def _apart(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
+    """``_metres`` of plain numbers."""
+    p, q = math.radians(lat1), math.radians(lat2)
+    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
+    return 2 * EARTH_RADIUS_M * math.asin(min(1.0, math.sqrt(h)))
+
+
+def scan(ts: np.ndarray, lat: np.ndarray, lon: np.ndarray, p: Params, final: bool = True) -> tuple[list[tuple], int]:
+    """Stays (first, last, lat, lon, radius, inferred seconds) of one user's sorted pings, and how many pings are settled; all others of these are moving. ``ts`` in microseconds.
 
+    Unless ``final``, more pings may follow, and what they could change isn't settled.
     Whether all members lie within the radius is settled exactly only when a
     bound no longer proves it: the farthest known distance, plus how far the
     mean has moved since, plus the new member's own distance.
     """
-    unit = np.column_stack([np.cos(np.radians(lat)) * np.cos(np.radians(lon)), np.cos(np.radians(lat)) * np.sin(np.radians(lon)), np.sin(np.radians(lat))])
-
-    def place(v):
-        return float(np.degrees(np.arctan2(v[2], np.hypot(v[0], v[1])))), float(np.degrees(np.arctan2(v[1], v[0])))
-
-    out, i, n = [], 0, len(ts)
-    while i < n:
-        j, inferred, total = i, 0.0, unit[i].copy()
-        at, far = (float(lat[i]), float(lon[i])), 0.0
-        while j + 1 < n:
-            gap, pending = (ts[j + 1] - ts[j]) / 1e6, 0.0
-            if gap > p.gap_s:
-                if gap > p.longest_inferred_s or _metres(lat[j], lon[j], lat[j + 1], lon[j + 1]) >= p.radius_m:
+    n = len(ts)
+    if not n:
+        return [], 0
+    gap = np.diff(ts) / 1e6
+    step = _metres(lat[:-1], lon[:-1], lat[1:], lon[1:])
+    cut = ((gap > p.gap_s) & ((step >= p.radius_m) | (gap > p.longest_inferred_s))) | (step > 2 * p.radius_m)
+    # The segment of a ping ends before segment_end; from reach on, a stay that begins with it lasts long enough.
+    edges = np.append(np.flatnonzero(cut) + 1, n)
+    segment_end = edges[np.searchsorted(edges, np.arange(n), side="right")]
+    reach = np.searchsorted(ts, ts + int(p.dwell_s * 1e6), side="left")
+    if p.min_points > 1:
+        reach = np.maximum(reach, np.arange(n) + p.min_points - 1)
+    begins = reach < segment_end
+    safe, far = np.minimum(reach, n - 1), 2 * p.radius_m
+    for share in (1.0, 0.5, 0.25, 0.75):
+        some = np.arange(n) + ((safe - np.arange(n)) * share).astype(np.int64)
+        begins &= (_metres(lat, lon, lat[some], lon[some]) <= far) & (_metres(lat[safe], lon[safe], lat[some], lon[some]) <= far)
+    open_ = reach >= n if not final else np.zeros(n, bool)
+    open_ &= segment_end == n
+    candidates = np.flatnonzero(begins | open_)
+    rad_lat, rad_lon = np.radians(lat), np.radians(lon)
+    xs, ys, zs = (np.cos(rad_lat) * np.cos(rad_lon)).tolist(), (np.cos(rad_lat) * np.sin(rad_lon)).tolist(), np.sin(rad_lat).tolist()
+    lats, lons, gaps = lat.tolist(), lon.tolist(), gap.tolist()
+    radius, out, i = p.radius_m, [], 0
+    while True:
+        at = int(np.searchsorted(candidates, i))
+        if at == len(candidates):
+            return out, n
+        i = int(candidates[at])
+        if open_[i] and not begins[i]:
+            return out, i
+        end, j, inferred, farthest = int(segment_end[i]), i, 0.0, 0.0
+        x, y, z, c_lat, c_lon = xs[i], ys[i], zs[i], lats[i], lons[i]
+        while j + 1 < end:
+            k = j + 1
+            nx, ny, nz = x + xs[k], y + ys[k], z + zs[k]
+            m_lat, m_lon = math.degrees(math.atan2(nz, math.hypot(nx, ny))), math.degrees(math.atan2(ny, nx))
+            bound = max(farthest + _apart(c_lat, c_lon, m_lat, m_lon), _apart(m_lat, m_lon, lats[k], lons[k]))
+            if bound > radius:
+                bound = float(_metres(m_lat, m_lon, lat[i : k + 1], lon[i : k + 1]).max())
+                if bound > radius:
                     break
-                pending = gap
-            grown = total + unit[j + 1]
-            centre = place(grown)
-            bound = max(far + float(_metres(*at, *map(np.float64, centre))), float(_metres(*centre, lat[j + 1], lon[j + 1])))
-            if bound > p.radius_m:
-                bound = float(_metres(*centre, lat[i : j + 2], lon[i : j + 2]).max())
-                if bound > p.radius_m:
-                    break
-            total, at, far, j, inferred = grown, centre, bound, j + 1, inferred + pending
+            if gaps[j] > p.gap_s:
+                inferred += gaps[j]
+            x, y, z, c_lat, c_lon, farthest, j = nx, ny, nz, m_lat, m_lon, bound, k
+        if j + 1 == end == n and not final:
+            return out, i
         if (ts[j] - ts[i]) / 1e6 >= p.dwell_s and j - i + 1 >= p.min_points:
-            out.append((True, i, j, *at, float(_metres(*at, lat[i : j + 1], lon[i : j + 1]).max()), inferred))
+            out.append((i, j, c_lat, c_lon, float(_metres(c_lat, c_lon, lat[i : j + 1], lon[i : j + 1]).max()), inferred))
             i = j + 1
         else:
-            out.append((False, i, i, float(lat[i]), float(lon[i]), 0.0, 0.0))
             i += 1
-    return out
+
+
+def _found(user: int, ts: np.ndarray, lat: np.ndarray, lon: np.ndarray, kinds: np.ndarray, stays: list[tuple], upto: int) -> pa.RecordBatch:
+    """Stays and moving pings of the first ``upto`` pings, in the columns of SCANNED."""
+    moving = np.ones(upto, bool)
+    for a, b, *_ in stays:
+        moving[a : b + 1] = False
+    at, m = np.flatnonzero(moving), len(stays)
+    first, last = np.array([s[0] for s in stays], np.int64), np.array([s[1] for s in stays], np.int64)
+    some = lambda i, rest: np.concatenate([np.array([s[i] for s in stays], float), rest])
+    inferred = some(5, np.zeros(len(at)))
+    start, end = np.concatenate([ts[first], ts[at]]), np.concatenate([ts[last], ts[at]])
+    spent = np.maximum((end - start) / 1e6, 1e-9)
+    every = [np.unique(kinds[a : b + 1]).tolist() for a, b in zip(first, last)] + [[k] for k in kinds[at].tolist()]
+    arrays = [pa.array(np.arange(m + len(at)) < m), pa.array(np.full(m + len(at), user)), pa.array(start), pa.array(end), pa.array(some(2, lat[at])), pa.array(some(3, lon[at])), pa.array(some(4, np.zeros(len(at)))), pa.array(np.concatenate([last - first + 1, np.ones(len(at), np.int64)]).astype(np.int32)), pa.array(inferred), pa.array(inferred / spent), pa.array([[k for k in e if k] for e in every], pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in SCANNED.split(", ")])
+
+
+def runs_of_users(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, bool]]:
+    """(user, rows, whether they are the user's last) of batches sorted by user_id, their first column."""
+    held: tuple[int, pa.RecordBatch] | None = None
+    for batch in batches:
+        users = batch.column(0).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(users[1:] != users[:-1]) + 1).tolist(), len(users)] if len(users) else [0]
+        for a, b in zip(edges, edges[1:]):
+            if held is not None:
+                yield *held, held[0] != users[a]
+            held = (int(users[a]), batch.slice(a, b - a))
+    if held is not None:
+        yield *held, True
+
+
+def by_user(rows: DataFrame, *order: str) -> DataFrame:
+    """All rows of a user in one partition, in ``order``: one shuffle, one sort that spills."""
+    return rows.repartition("user_id").sortWithinPartitions("user_id", *order)
 
 
 def cluster_stays(points: DataFrame, p: Params, *tie: str) -> DataFrame:
-    """Stays and moving pings: user_id, is_stay, start, end, lat, lon, radius_m, point_count, inferred_s."""
+    """Stays and moving pings: user_id, is_stay, start, end, lat, lon, radius_m, point_count, inferred_s, inferred_ratio, source_kinds."""
     points = points.where(F.col("accuracy_m").isNull() | (F.col("accuracy_m") <= p.accuracy_max_m))
-    w = in_order(*tie)
-    gap, d = seconds_between(F.lag("ts").over(w), F.col("ts")), haversine_m(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
-    cut = (gap > p.gap_s) & ((d >= p.radius_m) | (gap > p.longest_inferred_s)) | (d > 2 * p.radius_m)
-    cuts = points.withColumn("cut_", F.coalesce(cut.cast("int"), F.lit(0))).withColumn("seg_", F.sum("cut_").over(w))
-    seg = Window.partitionBy("user_id", "seg_")
-    placed = cuts.withColumns({"us_": micros(F.col("ts")), "dwell_": (F.max(micros(F.col("ts"))).over(seg) - F.min(micros(F.col("ts"))).over(seg)) / 1e6})
-    short = placed.where(F.col("dwell_") < p.dwell_s).select("user_id", F.lit(False).alias("is_stay"), F.col("us_").alias("start"), F.col("us_").alias("end"), "lat", "lon", F.lit(0.0).alias("radius_m"), F.lit(1).alias("point_count"), F.lit(0.0).alias("inferred_s"))
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["us_", *tie], kind="stable")
-        ts = g["us_"].to_numpy()
-        got = scan(ts, g["lat"].to_numpy(), g["lon"].to_numpy(), p)
-        user = g["user_id"].iloc[0]
-        return pd.DataFrame([(user, s, ts[a], ts[b], la, lo, r, b - a + 1, inf) for s, a, b, la, lo, r, inf in got], columns=SCANNED.replace(" long", "").replace(" boolean", "").replace(" double", "").replace(" int", "").split(", "))
-
-    long = placed.where(F.col("dwell_") >= p.dwell_s).select("user_id", "seg_", "us_", "lat", "lon", *tie).groupBy("user_id", "seg_").applyInPandas(one, SCANNED)
+    kind = F.col("source_kind") if "source_kind" in points.columns else F.lit("")
+    rows = by_user(points.select("user_id", micros(F.col("ts")).alias("us_"), "lat", "lon", F.coalesce(kind, F.lit("")).alias("kind_"), *tie), "us_", *tie)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] | None = None
+        wait = HELD
+        for user, rows, last in runs_of_users(batches):
+            new = [rows.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5)]
+            kept = new if kept is None else [np.concatenate([a, b]) for a, b in zip(kept, new)]
+            if last or len(kept[0]) >= wait:
+                stays, upto = scan(kept[0], kept[1], kept[2], p, last)
+                if upto:
+                    yield _found(user, *kept, stays, upto)
+                kept = None if last else [a[upto:] for a in kept]
+                # What stays open is scanned again only when there is as much more of it.
+                wait = HELD if last else max(HELD, 2 * len(kept[0]))
+
+    got = rows.mapInArrow(run, SCANNED)
     time = lambda c: F.timestamp_micros(F.col(c)).cast("timestamp_ntz").alias(c)
-    return short.unionByName(long).select("user_id", "is_stay", time("start"), time("end"), "lat", "lon", "radius_m", "point_count", "inferred_s")
+    return got.select("user_id", "is_stay", time("start"), time("end"), "lat", "lon", "radius_m", "point_count", "inferred_s", "inferred_ratio", "source_kinds")
 
 
 def merge_adjacent_stays(stays: DataFrame, p: Params) -> DataFrame:
-    """Consecutive stays within the longest inferred stay and the radius become one, centres weighted by pings.
+    """Consecutive stays within the longest inferred stay and the radius become one, centres weighted by pings; end, radius and inferred ratio are the greatest, source kinds those of either.
 
-    The centre moves as stays join, so it is a fold, over runs that no longer gap parts.
+    The centre moves as stays join, so it is a fold over each user's stays in
+    order; it holds one stay.
     """
-    w = Window.partitionBy("user_id").orderBy("start")
-    far = haversine_m(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
-    cut = (seconds_between(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("start")) > p.longest_inferred_s).cast("int")
-    runs = stays.withColumn("cut_", F.coalesce(cut, F.lit(0))).withColumn("run_", F.sum("cut_").over(w)).withColumn("far_", far)
-    item = F.struct("start", "end", "lat", "lon", "radius_m", "point_count", "inferred_s").alias("s")
-    kind = "array<struct<start: timestamp_ntz, end: timestamp_ntz, lat: double, lon: double, radius_m: double, point_count: int, inferred_s: double>>"
-
-    def step(acc, s):
-        last = F.element_at(acc, -1)
-        close = (seconds_between(last["end"], s["start"]) <= p.longest_inferred_s) & (haversine_m(last["lat"], last["lon"], s["lat"], s["lon"]) < p.radius_m)
-        share = last["point_count"] / (last["point_count"] + s["point_count"])
-        joined = F.struct(
-            last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), (last["lat"] * share + s["lat"] * (1 - share)).alias("lat"), (last["lon"] * share + s["lon"] * (1 - share)).alias("lon"),
-            F.greatest(last["radius_m"], s["radius_m"]).alias("radius_m"), (last["point_count"] + s["point_count"]).alias("point_count"), (last["inferred_s"] + s["inferred_s"]).alias("inferred_s"))
-        return F.when(F.size(acc) == 0, F.array(s)).when(close, F.concat(F.slice(acc, F.lit(1), F.greatest(F.lit(0), F.size(acc) - 1)), F.array(joined))).otherwise(F.concat(acc, F.array(s)))
-
-    folded = runs.groupBy("user_id", "run_").agg(F.array_sort(F.collect_list(item)).alias("a"))
-    merged = folded.withColumn("m", F.aggregate("a", F.array().cast(kind), lambda acc, s: step(acc, s).cast(kind)))
-    return merged.select("user_id", F.explode("m").alias("m")).select("user_id", "m.*")
+    columns = [c.split()[0] for c in _STAY.split(", ")]
+    rows = by_user(stays.select("user_id", micros(F.col("start")).alias("start"), micros(F.col("end")).alias("end"), *columns[3:]), "start", "end", "lat", "lon")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prev: list | None = None
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                s = list(row)
+                if prev and prev[0] == s[0] and (s[1] - prev[2]) / 1e6 <= p.longest_inferred_s and _apart(prev[3], prev[4], s[3], s[4]) < p.radius_m:
+                    n = prev[6] + s[6]
+                    w = prev[6] / (n or 1)
+                    prev = [s[0], prev[1], max(prev[2], s[2]), prev[3] * w + s[3] * (1 - w), prev[4] * w + s[4] * (1 - w), max(prev[5], s[5]), n, prev[7] + s[7], max(prev[8], s[8]), sorted({*prev[9], *s[9]})]
+                else:
+                    if prev:
+                        out.append(prev)
+                    prev = s
+            if out:
+                yield _rows(out, batch.schema)
+        if prev:
+            yield _rows([prev], batch.schema)
+
+    def _rows(out: list[list], schema: pa.Schema) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema.names)
+
+    time = lambda c: F.timestamp_micros(F.col(c)).cast("timestamp_ntz").alias(c)
+    return rows.mapInArrow(run, _STAY).select("user_id", time("start"), time("end"), *columns[3:])
 
 
 def split_at_midnight(stays: DataFrame) -> DataFrame:
@@ -128,22 +211,37 @@ def split_at_midnight(stays: DataFrame) -> DataFrame:
     return cut.where("piece_start < piece_end or start = end").drop("start", "end").withColumnsRenamed({"piece_start": "start", "piece_end": "end"})
 
 
-def build_moves(moving: DataFrame, stays: DataFrame, p: Params) -> DataFrame:
-    """Runs of moving pings (user_id, ts, lat, lon), joined to the stays before and after, of enough pings and metres."""
+def path_length(path: Column) -> Column:
+    """Metres along an array of structs with lat and lon."""
+    at = lambda i: F.get(path, i)
+    steps = F.transform(F.sequence(F.lit(1), F.size(path) - 1), lambda i: haversine_m(at(i - 1)["lat"], at(i - 1)["lon"], at(i)["lat"], at(i)["lon"]))
+    return F.when(F.size(path) < 2, F.lit(0.0)).otherwise(F.aggregate(steps, F.lit(0.0), lambda a, d: a + d))
+
+
+def neighbour_stays(runs: DataFrame, stays: DataFrame) -> DataFrame:
+    """Runs (user_id, start, end) with ``from_``, the last stay that ended before the start, and ``to_``, the first that began after the end (structs of ts, lat, lon)."""
     from waymark.operators.intervals import asof_both
-    from waymark.operators.points import split_by_gap
 
-    runs = split_by_gap(moving, p.gap_s).groupBy("user_id", "run").agg(
-        F.min("ts").alias("ts"), F.max("ts").alias("end"), F.array_sort(F.collect_list(F.struct("ts", "lat", "lon"))).alias("pings")).where(F.size("pings") >= p.move_min_points)
+    tick = F.expr("interval 1 microsecond")
     ends = stays.select("user_id", F.col("end").alias("ts"), "lat", "lon")
     starts = stays.select("user_id", F.col("start").alias("ts"), "lat", "lon")
-    with_before = asof_both(runs, ends, ["lat", "lon"]).withColumnRenamed("before", "from_").drop("after")
-    turned = with_before.withColumnsRenamed({"ts": "start", "end": "ts"})
-    # The first stay that starts at or after the end: look from just before it.
-    turned = turned.withColumn("ts", F.col("ts") - F.expr("interval 1 microsecond"))
-    both = asof_both(turned, starts, ["lat", "lon"]).withColumnRenamed("after", "to_").drop("before").withColumn("end", F.col("ts") + F.expr("interval 1 microsecond")).drop("ts")
+    # At or before the start, and at or after the end: strictly later than just before it.
+    before = asof_both(runs.withColumn("ts", F.col("start")), ends, ["lat", "lon"]).withColumnRenamed("before", "from_").drop("after", "ts")
+    after = asof_both(before.withColumn("ts", F.col("end") - tick), starts, ["lat", "lon"])
+    return after.withColumnRenamed("after", "to_").drop("before", "ts")
+
+
+def build_moves(moving: DataFrame, stays: DataFrame, p: Params) -> DataFrame:
+    """Runs of moving pings (user_id, ts, lat, lon), joined to the stays before and after, of enough pings and metres."""
+    from waymark.operators.points import split_by_gap
+
+    runs = split_by_gap(moving, p.gap_s)
+    spans = runs.groupBy("user_id", "run").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("n_")).where(F.col("n_") >= p.move_min_points)
+    # Only the ends of a run are looked up; its path is attached afterwards.
+    ends = neighbour_stays(spans.drop("n_"), stays)
+    paths = runs.groupBy("user_id", "run").agg(F.array_sort(F.collect_list(F.struct("ts", "lat", "lon"))).alias("pings"))
+    both = ends.join(paths, ["user_id", "run"])
     spot = lambda c: F.when(F.col(c).isNotNull(), F.array(F.struct(F.col(f"{c}.lat").alias("lat"), F.col(f"{c}.lon").alias("lon")))).otherwise(F.array())
     path = F.concat(spot("from_"), F.transform("pings", lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon"))), spot("to_"))
-    metres = F.aggregate(F.sequence(F.lit(1), F.size("path") - 1), F.lit(0.0), lambda a, i: a + haversine_m(F.get("path", i - 1)["lat"], F.get("path", i - 1)["lon"], F.get("path", i)["lat"], F.get("path", i)["lon"]))
-    return both.withColumn("path", path).withColumn("distance_m", metres).where(F.col("distance_m") >= p.move_min_m).select(
+    return both.withColumn("path", path).withColumn("distance_m", path_length(F.col("path"))).where(F.col("distance_m") >= p.move_min_m).select(
         "user_id", "start", "end", "path", "distance_m", F.greatest(F.lit(1), F.floor(seconds_between(F.col("start"), F.col("end")))).cast("long").alias("duration_s"))

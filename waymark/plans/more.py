@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo, text
 from waymark.functions import time as times
-from waymark.operators import intervals, points
+from waymark.operators import intervals, organise, points
 from waymark.plans.fixtures import PHOTOS, PINGS, VISITS, hav, photos, pings, table, visits
 from waymark.plans.queries import _PLACES, QUERIES, _places, query, r3, r6
 from waymark.sources import timeline
@@ -72,10 +72,8 @@ n AS (SELECT *, row_number() OVER (PARTITION BY photo_id ORDER BY d, later, even
 SELECT photo_id, event_id, round(d / 1e6, 3) AS apart_s FROM n WHERE rn = 1 AND d <= 1800 * 1000000""")
 def c7(spark, sf):
     e = table(spark, sf, "events").where("event_type <> 'purchase'").select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id")
-    both = intervals.asof_both(photos(spark, sf), e, ["event_id"])
-    apart = lambda c: F.abs(points.seconds_between(F.col("ts"), F.col(f"{c}.ts")))
-    best = F.least(F.when(F.col("before").isNotNull(), F.struct(apart("before").alias("d"), F.lit(0).alias("later"), F.col("before.event_id").alias("event_id"))), F.when(F.col("after").isNotNull(), F.struct(apart("after").alias("d"), F.lit(1).alias("later"), F.col("after.event_id").alias("event_id"))))
-    return both.withColumn("n", best).where("n.d <= 1800").select("photo_id", "n.event_id", r3(F.col("n.d")).alias("apart_s"))
+    got = intervals.nearest_in_time(photos(spark, sf), e, ["event_id"], 1800)
+    return got.select("photo_id", F.col("nearest.event_id").alias("event_id"), r3(F.col("apart_s")).alias("apart_s"))
 
 
 @query("C11_attach_counts", f"""WITH {PINGS}, {VISITS}, {PHOTOS} SELECT c_custkey, (SELECT count(*) FROM pings WHERE user_id = c_custkey) AS pings, (SELECT count(*) FROM visits WHERE user_id = c_custkey) AS visits, (SELECT count(*) FROM photos WHERE user_id = c_custkey) AS photos FROM customer""")
@@ -87,9 +85,8 @@ def c11(spark, sf):
     return out
 
 
-@query("D7_implied_moves", f"""WITH {VISITS}, n AS (SELECT user_id, hint_id, "end" AS start, lead(start) OVER (PARTITION BY user_id ORDER BY start, hint_id) AS nxt FROM visits)
-SELECT user_id, hint_id, start, nxt AS "end", floor((epoch_us(nxt) - epoch_us(start)) / 1e6)::BIGINT AS duration_s FROM n WHERE epoch_us(nxt) - epoch_us(start) > 60000000""")
 def d7(spark, sf):
+    """Gaps of more than a minute between a user's declared visits."""
     nxt = F.lead("start").over(Window.partitionBy("user_id").orderBy("start", "hint_id"))
     v = visits(spark, sf).withColumn("next", nxt).select("user_id", "hint_id", F.col("end").alias("start"), F.col("next").alias("end"))
     gap = points.seconds_between(F.col("start"), F.col("end"))
@@ -98,7 +95,6 @@ def d7(spark, sf):
 
 @query("D7_implied_moves_unmeasured")
 def d7_unmeasured(spark, sf):
-    # D7 as the survey has it: the gaps of the query above that no measured move overlaps.
     moves = QUERIES["D3_moves"](spark, sf).select("user_id", "start", "end")
     return intervals.without_overlap(d7(spark, sf), moves, "hint_id")
 
@@ -124,10 +120,9 @@ def e11(spark, sf):
 
 
 def monthly_density(days):
-    """month, weight of days (day, places, metres): places, and one more for a day with metres; months without days too."""
-    m = days.groupBy(F.trunc("day", "month").alias("month")).agg(F.sum(F.col("places") + (F.col("metres") > 0).cast("int")).alias("weight"))
-    every = m.agg(F.min("month").alias("a"), F.max("month").alias("b")).select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("month"))
-    return every.join(m, "month", "left").select("month", F.coalesce("weight", F.lit(0)).alias("weight"))
+    """month, weight of days (day, places, metres) of all users together."""
+    one = days.select(F.lit(0).cast("long").alias("user_id"), "day", "places", F.col("metres").alias("distance_m"))
+    return organise.monthly_density(one).drop("user_id")
 
 
 @query("E12_monthly_weight", """WITH d AS (SELECT o_orderdate::DATE AS day, count(*) AS places, sum(o_totalprice) AS metres FROM orders GROUP BY 1),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.geo import parse_latlng
 from waymark.functions.text import map_activity_type
+from waymark.functions.time import offset_label
 
 _PLACE = "struct<latLng: string>"
 RECORD = (
@@ -17,9 +18,13 @@ RECORD = (
 )
 
 
-def read_timeline(spark: SparkSession, path: str) -> DataFrame:
-    """Records of exports that are an array, or an object with them in semanticSegments."""
-    got = spark.read.schema(f"semanticSegments array<struct<{_fields(RECORD)}>>, {RECORD}").json(path, multiLine=True)
+def read_timeline(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Records of exports that are an array, or an object with them in semanticSegments.
+
+    A file that is one JSON value is read by one task, as it can't be split; exports too large for
+    that are cut into ``lines`` of a record, an array or an object each, which are read in parallel.
+    """
+    got = spark.read.schema(f"semanticSegments array<struct<{_fields(RECORD)}>>, {RECORD}").json(path, multiLine=not lines)
     wrapped = got.where("semanticSegments is not null").select(F.inline("semanticSegments"))
     return wrapped.unionByName(got.where("semanticSegments is null").drop("semanticSegments"))
 
@@ -36,6 +41,22 @@ def instant(text: Column) -> Column:
     return F.to_utc_timestamp(text.try_cast("timestamp"), F.current_timezone()).cast("timestamp_ntz")
 
 
+def zone_label(text: Column) -> Column:
+    """UTC+09:00 of a time that was written with this offset, UTC of one in UTC; null without an offset."""
+    sign, hours, minutes = (F.regexp_extract(text, r"([+-])(\d{2}):?(\d{2})$", i) for i in (1, 2, 3))
+    seconds = F.when(sign == "-", -1).otherwise(1) * (hours.try_cast("int") * 3600 + minutes.try_cast("int") * 60)
+    return F.when(F.endswith(text, F.lit("Z")), F.lit("UTC")).when(sign != "", offset_label(seconds))
+
+
+def dispatch_records(records: DataFrame) -> dict[str, DataFrame]:
+    """places, tracks, points and skipped (reason, count) of records; memories and empty paths are counted, unknown records are an error with a sample."""
+    r = with_kind(records, strict=True)
+    places, skipped = visits_to_hints(r)
+    notes = r.where(F.col("kind").isin("memory", "empty")).select(F.when(F.col("kind") == "memory", "timeline memory").otherwise("empty path").alias("reason"))
+    more = notes.groupBy("reason").agg(F.count("*").alias("count"))
+    return {"places": places, "tracks": activities_to_hints(r), "points": paths_to_points(r), "skipped": skipped.unionByName(more)}
+
+
 def with_kind(records: DataFrame, strict: bool = False) -> DataFrame:
     """``kind``: visit, activity, path, memory, empty or unknown; ``strict`` fails on unknown ones with a sample."""
     kind = (
@@ -51,13 +72,13 @@ def with_kind(records: DataFrame, strict: bool = False) -> DataFrame:
 
 def visits_to_hints(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Place hints, and reasons of skipped visits with their counts."""
-    v = records.where("visit is not null").select(instant(F.col("startTime")).alias("start"), instant(F.col("endTime")).alias("end"), parse_latlng(F.col("visit.topCandidate.placeLocation.latLng")).alias("at"), F.col("visit.topCandidate.semanticType").alias("semantic_type"), F.col("visit.topCandidate.placeId").alias("provider_place_id"), F.col("visit.topCandidate.probability").alias("probability"), F.col("visit.hierarchyLevel").alias("level"))
+    v = records.where("visit is not null").select(instant(F.col("startTime")).alias("start"), instant(F.col("endTime")).alias("end"), zone_label(F.col("startTime")).alias("tz_name"), parse_latlng(F.col("visit.topCandidate.placeLocation.latLng")).alias("at"), F.col("visit.topCandidate.semanticType").alias("semantic_type"), F.col("visit.topCandidate.placeId").alias("provider_place_id"), F.col("visit.topCandidate.probability").alias("probability"), F.col("visit.hierarchyLevel").alias("level"))
     reason = (
         F.when(F.col("start").isNull() | F.col("end").isNull(), "no time").when(F.coalesce("level", F.lit(0)) > 0, "hierarchy parent")
         .when(F.replace(F.lower("semantic_type"), F.lit("_"), F.lit(" ")) == "searched address", "searched address").when(F.col("at").isNull(), "no position")
     )
     v = v.withColumn("reason", reason)
-    hints = v.where("reason is null").select("start", "end", "at.lat", "at.lon", "semantic_type", "provider_place_id", "probability")
+    hints = v.where("reason is null").select("start", "end", "tz_name", "at.lat", "at.lon", "semantic_type", "provider_place_id", "probability")
     return hints, v.where("reason is not null").groupBy("reason").agg(F.count("*").alias("count"))
 
 
@@ -80,6 +101,13 @@ def to_geojson_rows(places: DataFrame, properties: list[str]) -> DataFrame:
     return places.select(F.to_json(F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), F.struct(*properties).alias("properties")), {"ignoreNullFields": "false"}).alias("feature"))
 
 
+def track_features(tracks: DataFrame, properties: list[str]) -> DataFrame:
+    """One GeoJSON feature for each track (points and the properties, distance_m among them); an unknown distance stays null and is marked."""
+    line = F.struct(F.lit("LineString").alias("type"), F.transform("points", lambda p: F.array(p["lon"], p["lat"])).alias("coordinates"))
+    about = F.struct(*properties, F.col("distance_m").isNull().alias("distance_unknown"))
+    return tracks.select(F.to_json(F.struct(F.lit("Feature").alias("type"), line.alias("geometry"), about.alias("properties")), {"ignoreNullFields": "false"}).alias("feature"))
+
+
 def to_gpx_rows(tracks: DataFrame) -> DataFrame:
     """One GPX track, as text, for each track (name, points of lat and lon)."""
     vertex = lambda p: F.format_string('<trkpt lat="%.6f" lon="%.6f"/>', p["lat"], p["lon"])

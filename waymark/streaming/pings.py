@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
-from waymark.functions.geo import point_dedup_key
+from waymark.functions.geo import haversine_m, point_dedup_key
+from waymark.operators.stays import scan
+from waymark.params import Params
 
 
 def dedup_stream(pings: DataFrame, late: str = "2 days") -> DataFrame:
@@ -38,3 +43,72 @@ def each_affected_day(pings: DataFrame, recompute: Callable[[DataFrame], None],
         recompute(batch.select("user_id", F.explode(F.sequence(F.date_sub(day, 1), F.date_add(day, 1))).alias("day")).distinct())
 
     return pings.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def incremental(pings: DataFrame, recompute: Callable[[DataFrame, DataFrame], None], checkpoint: str, late_path: str, late_days: int = 2):
+    """Start a query that gives ``recompute`` each batch's pings in time and the (user_id, day) they touch, a day to either side.
+
+    A ping more than ``late_days`` behind the newest one of its batch is late: it goes to the
+    table at ``late_path`` and opens no day again. A batch that is run a second time
+    replaces what it wrote.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        newest = batch.agg(F.max("ts")).first()[0]
+        old = F.coalesce(F.col("ts") < F.lit(newest) - F.make_dt_interval(days=F.lit(late_days)), F.lit(False))
+        batch.where(old).write.mode("overwrite").parquet(f"{late_path.rstrip('/')}/batch={number}")
+        good = batch.where(~old)
+        day = F.to_date("ts")
+        recompute(good, good.select("user_id", F.explode(F.sequence(F.date_sub(day, 1), F.date_add(day, 1))).alias("day")).distinct())
+
+    return pings.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def fence_alerts(pings: DataFrame, fences: DataFrame) -> DataFrame:
+    """user_id, fence_id, ts of pings in an enabled fence of their user: a join of the stream with a table."""
+    f = fences.where("enabled").select("user_id", "fence_id", F.col("lat").alias("f_lat"), F.col("lon").alias("f_lon"), "radius_m")
+    return pings.join(f, "user_id").where(haversine_m(F.col("lat"), F.col("lon"), F.col("f_lat"), F.col("f_lon")) <= F.col("radius_m")).select("user_id", "fence_id", "ts")
+
+
+def sliding_activity(pings: DataFrame, width: str = "1 day", step: str = "6 hours", late: str = "2 hours") -> DataFrame:
+    """The pings of each user in windows of ``width``, a new one every ``step``."""
+    timed = pings.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", late)
+    return timed.groupBy("user_id", F.window("event_time", width, step)).agg(F.count("*").alias("pings"))
+
+
+_OPEN = "ts array<long>, lat array<double>, lon array<double>"
+_STAY = "user_id long, start timestamp, end timestamp, lat double, lon double, radius_m double, point_count int, inferred_s double"
+
+
+def online_stays(pings: DataFrame, p: Params, late: str = "2 hours") -> DataFrame:
+    """Stays as they end: each user's open pings are the state, and what a later ping settles leaves it.
+
+    A stay ends when its user has moved on, or has been silent, by event time, for
+    longer than the longest stay that may be inferred. Pings that come later than
+    ``late`` are dropped by the watermark; those in time are put in order within their
+    batch, and one before what is settled already is too late as well.
+    """
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = [np.array(x) for x in state.get] if state.exists else [np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
+        if not state.hasTimedOut:
+            for part in parts:
+                new = [part["event_time"].astype("int64").to_numpy() // (1 if part["event_time"].dtype == "datetime64[us]" else 1000), part["lat"].to_numpy(), part["lon"].to_numpy()]
+                held = [np.concatenate([a, b]) for a, b in zip(held, new)]
+            order = np.argsort(held[0], kind="stable")
+            held = [x[order] for x in held]
+        stays, upto = scan(held[0], held[1], held[2], p, final=state.hasTimedOut)
+        made = [(key[0], held[0][a], held[0][b], lat, lon, r, b - a + 1, inf) for a, b, lat, lon, r, inf in stays]
+        held = [x[upto:] for x in held]
+        if len(held[0]) and not state.hasTimedOut:
+            state.update(tuple(x.tolist() for x in held))
+            state.setTimeoutTimestamp(max(int(held[0][-1]) // 1000 + p.longest_inferred_s * 1000, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        out = pd.DataFrame(made, columns=[c.split()[0] for c in _STAY.split(", ")])
+        for c in ("start", "end"):
+            out[c] = pd.to_datetime(out[c].astype("int64"), unit="us")
+        yield out
+
+    timed = pings.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", late)
+    return timed.select("user_id", "event_time", "lat", "lon").groupBy("user_id").applyInPandasWithState(step, _STAY, _OPEN, "append", "EventTimeTimeout")
