@@ -23,10 +23,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
 
     The folder is the one of ``spark.checkpoint.dir``; only where that is
-    unset (tests, one machine) a temporary folder is made and remembered.
+    unset and all runs on one machine (tests) a temporary folder is made and
+    remembered. On a cluster that is an error: executors would not see each other's files.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

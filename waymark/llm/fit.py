@@ -17,12 +17,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
 
     If more rows of ``labels`` are allowed, the hash of their key decides. The
     sample of keys is small by this bound, so it is broadcast to the documents.
+    Of several documents of a key the one counts whose text has the least hash,
+    so the sample is as small however often a key occurs.
     """
     known = labels.where(allowed & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("label"))
     n = known.count()
     if n > bound:
         known = known.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 20)) < int(bound / n * (1 << 20)))
-    return docs.select(key, F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), key)
+    found = docs.select(key, F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), key)
+    return found.groupBy(key).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("label").alias("label"))
 
 
 class Logistic:

@@ -1,10 +1,10 @@
 """Quality by compression: a Zstandard dictionary of good and one of bad text.
 
-Both dictionaries are trained on pieces of labelled documents. A text is
-compressed with each and with none; the difference of the sizes, normalised by
-the text's length, and how far it shrinks at all are turned into a probability
-by a logistic calibration on labelled documents that trained no dictionary.
-Scoring is one pass over the texts; nothing is shuffled.
+Both dictionaries are trained on pieces of labelled documents. All pieces of a text are
+compressed with each and with none, each afresh, so that what a dictionary saves is in proportion to the text; the differences of the sizes, normalised by the text's size and by
+that without a dictionary, are turned into a probability by a logistic calibration on labelled
+documents that trained no dictionary. Scoring is one pass over the texts;
+nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -21,24 +21,20 @@ from pyspark.sql import functions as F
 from waymark.llm.common import table
 from waymark.llm.fit import Logistic, fold, labelled_sample
 
-#: Bounds of the training sample: documents, pieces of each, bytes of a piece.
-BOUND, PIECES, PIECE_BYTES = 12_000, 4, 2048
+#: Bounds of the training sample: documents, bytes of text of each label (of pieces of all texts, by their hash). Bytes of a piece.
+BOUND, TRAIN_BYTES, PIECE_BYTES = 12_000, 48 << 20, 2048
 DICTIONARY_BYTES, LEVEL = 112 << 10, 3
-#: A text is compressed in blocks of this size, so that memory doesn't grow with it.
-BLOCK_BYTES = 1 << 20
-FEATURES = 7
+FEATURES = 6
 
 
 def pieces_of(text: str) -> list[bytes]:
+    """The whole text, cut into what dictionaries are trained on and applied to."""
     data = text.encode()
-    if len(data) <= PIECES * PIECE_BYTES:
-        return [data[i : i + PIECE_BYTES] for i in range(0, len(data), PIECE_BYTES)]
-    gap = (len(data) - PIECE_BYTES) // (PIECES - 1)
-    return [data[i * gap : i * gap + PIECE_BYTES] for i in range(PIECES)]
+    return [data[i : i + PIECE_BYTES] for i in range(0, len(data), PIECE_BYTES)]
 
 
-def train_dictionaries(sample: DataFrame) -> dict[int, bytes]:
-    """A dictionary of each label; empty where there is too little text."""
+def train_dictionaries(sample: DataFrame, train_bytes: int = TRAIN_BYTES) -> dict[int, bytes]:
+    """A dictionary of each label; of texts too few to train one, all of them are it."""
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -50,11 +46,15 @@ def train_dictionaries(sample: DataFrame) -> dict[int, bytes]:
         try:
             made = zstandard.train_dictionary(DICTIONARY_BYTES, some, k=512, d=8).as_bytes()
         except zstandard.ZstdError:
-            made = b"".join(some)[:DICTIONARY_BYTES]
+            made = b"".join(some)
         return pd.DataFrame({"label": [int(one["label"].iloc[0])], "made": [made]})
 
     distinct = sample.select("text", "label").dropDuplicates()
-    got = distinct.mapInArrow(cut, "label int, piece binary").groupBy("label").applyInPandas(train, "label int, made binary").collect()
+    pieces = distinct.mapInArrow(cut, "label int, piece binary")
+    most = distinct.groupBy("label").agg(F.sum(F.octet_length("text")).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > train_bytes:
+        pieces = pieces.where(F.pmod(F.xxhash64("piece"), F.lit(1 << 20)) < int(train_bytes / most * (1 << 20)))
+    got = pieces.groupBy("label").applyInPandas(train, "label int, made binary").collect()
     return {r["label"]: bytes(r["made"]) for r in got}
 
 
@@ -73,12 +73,11 @@ class Sizes:
                 self.press.append(self.press[0])
 
     def of(self, text: str) -> list[float]:
-        data = text.encode()
-        n = max(len(data), 1)
-        c, b, g = (sum(len(p.compress(data[i : i + BLOCK_BYTES])) for i in range(0, max(len(data), 1), BLOCK_BYTES)) for p in self.press)
-        diff, rest = (b - g) / n, c / n
-        expected = np.log1p(n / 200.0)
-        return [diff, (b - g) / (b + g), rest, expected, g / n, rest * expected, np.log(c / n + 0.01)]
+        """The difference of the two sizes by the text's, by its root and by the size without a dictionary; what either dictionary saves of that; and what they are measured by, how far the text shrinks without one."""
+        pieces = pieces_of(text) or [b""]
+        c, b, g = (sum(len(p.compress(x)) for x in pieces) for p in self.press)
+        n = max(sum(map(len, pieces)), 1)
+        return [(b - g) / n, (b - g) / n**0.5, (b - g) / c, (c - g) / c, (c - b) / c, c / n]
 
 
 def features(docs: DataFrame, made: dict[int, bytes], keep: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ grown. The ordered rules become one Spark conditional expression.
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,8 +23,10 @@ from waymark.llm.fit import labelled_sample
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
-#: Bound of the training sample in documents; least precision of a rule; thresholds tried for each statistic.
-BOUND, PRECISION, CUTS, MOST_RULES, MOST_CONDITIONS = 8_000, 0.9, 48, 12, 4
+#: Bound of the training sample in documents; least precision of a rule.
+BOUND, PRECISION = 8_000, 0.9
+#: Size of a list that people can still read: thresholds tried for each statistic, rules, conditions of a rule. ``learn`` warns where a list ends by one of the last two.
+CUTS, MOST_RULES, MOST_CONDITIONS = 48, 12, 4
 FEATURES = ("n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "stop_share", "distinct_share")
 
 
@@ -96,20 +99,20 @@ class Condition:
         return f"{self.feature} {'>' if self.above else '<='} {self.value:g}"
 
 
-def _cuts(rows: list[dict]) -> list[Condition]:
+def _cuts(rows: list[dict], cuts: int) -> list[Condition]:
     out = []
     for f in FEATURES:
         values = sorted({r[f] for r in rows})
-        step = max(1, len(values) // CUTS)
+        step = max(1, len(values) // cuts)
         for a, b in zip(values[::step], values[1::step]):
             out += [Condition(f, above, (a + b) / 2) for above in (True, False)]
     return out
 
 
-def _grow(rows: list[tuple[dict, int]], conditions: list[Condition]) -> list[Condition]:
+def _grow(rows: list[tuple[dict, int]], conditions: list[Condition], most: int) -> list[Condition]:
     """Conditions added one by one for the greatest information gain, until all rows covered are bad."""
     rule: list[Condition] = []
-    while len(rule) < MOST_CONDITIONS:
+    while True:
         p0 = sum(y for _, y in rows)
         if p0 in (0, len(rows)):
             break
@@ -125,6 +128,9 @@ def _grow(rows: list[tuple[dict, int]], conditions: list[Condition]) -> list[Con
                 best = (gain, c)
         if best[1] is None:
             break
+        if len(rule) == most:
+            warnings.warn(f"a rule stops at {most} conditions", stacklevel=2)
+            break
         rule.append(best[1])
         rows = [(r, y) for r, y in rows if best[1].holds(r)]
     return rule
@@ -136,18 +142,21 @@ def _worth(rule: list[Condition], rows: list[tuple[dict, int]]) -> tuple[float,
     return (sum(got) + 1) / (len(got) + 2), len(got)
 
 
-def learn(sample: list[dict], precision: float = PRECISION) -> list[list[Condition]]:
+def learn(sample: list[dict], precision: float = PRECISION, most_rules: int = MOST_RULES, most_conditions: int = MOST_CONDITIONS, cuts: int = CUTS) -> list[list[Condition]]:
     """Rules for bad rows, in order. ``sample``: the statistics, label (1 good), part (0 to 2; 2 prunes)."""
     rows = [(r, 1 - r["label"]) for r in sample]
     grow, prune = [x for x in rows if x[0]["part"] != 2], [x for x in rows if x[0]["part"] == 2]
-    conditions, rules = _cuts([r for r, _ in grow]), []
-    while len(rules) < MOST_RULES and any(y for _, y in grow):
-        rule = _grow(grow, conditions)
+    conditions, rules = _cuts([r for r, _ in grow], cuts), []
+    while any(y for _, y in grow):
+        rule = _grow(grow, conditions, most_conditions)
         # Conditions go from the end while the rule is worth no less without them.
         while len(rule) > 1 and _worth(rule[:-1], prune)[0] >= _worth(rule, prune)[0]:
             rule = rule[:-1]
         if not rule or _worth(rule, prune)[0] < precision:
             break
+        if len(rules) == most_rules:
+            warnings.warn(f"the list stops at {most_rules} rules", stacklevel=2)
+            break
         rules.append(rule)
         grow = [x for x in grow if not all(c.holds(x[0]) for c in rule)]
         prune = [x for x in prune if not all(c.holds(x[0]) for c in rule)]
@@ -166,7 +175,11 @@ def verdict(rules: list[list[Condition]]) -> Column:
 
 
 def learned_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", bound: int = BOUND) -> list[list[Condition]]:
-    """Rules from about ``bound`` labelled documents; none where labels don't say any."""
+    """Rules from about ``bound`` labelled documents; none where labels don't say any, or a table is empty.
+
+    Null labels and keys don't count, null texts are empty, whole texts are
+    read, and of a key's documents one counts.
+    """
     sample = with_statistics(labelled_sample(docs, labels, label, F.lit(True), bound, key))
     part = F.pmod(F.xxhash64(F.col(key), F.lit("part")), F.lit(3)).alias("part")
     rows = sample.where(~F.col("base_failed")).select("label", part, *[F.col(f).cast("double").alias(f) for f in FEATURES]).collect()

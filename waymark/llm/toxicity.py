@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from waymark.llm.common import Words, table, text_chunks
 from waymark.llm.fit import Logistic, fold, labelled_sample
 
-#: Bound of the training sample, in documents; of the lexicon, in terms.
-BOUND, TERMS = 12_000, 400
+#: Bound of the training sample, in documents.
+BOUND = 12_000
 STEM_LENGTHS = range(4, 8)
 #: Words whose matches a Python worker remembers.
 CACHE_WORDS = 400_000
@@ -51,6 +51,8 @@ class Lexicon:
         self.terms = terms
         self.trie: dict = {}
         self.most = 0
+        #: Of a longer word this much decides: a term can't be as long, and a stem's part of it is shorter.
+        self.reach = max((len(t) + slack(t, s) for t, s, _ in terms), default=0) + 1
         parts: dict[tuple[int, int], set[str]] = {}
         for i, (term, is_stem, _) in enumerate(terms):
             node = self.trie
@@ -101,7 +103,7 @@ class Lexicon:
         except KeyError:
             if len(self.known) >= CACHE_WORDS:
                 self.known.clear()
-            found = self.known[word] = self.find(word[:40])
+            found = self.known[word] = self.find(word[: self.reach])
             return found
 
 
@@ -171,7 +173,7 @@ def term_counts(sample: DataFrame) -> DataFrame:
 
         for batch in rows:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = {w for w in WORD.findall(text.lower()) if 3 <= len(w) <= 40}
+                words = {w for w in WORD.findall(text.lower()) if len(w) >= 3}
                 stems = {w[:k] for w in words for k in STEM_LENGTHS if len(w) > k}
                 counts.update((w, False, y) for w in words)
                 counts.update((w, True, y) for w in stems)
@@ -197,25 +199,27 @@ def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool, float]]:
     odds = F.log((c("n1") + 0.5) / (t1 + 1)) - F.log((c("n0") + 0.5) / (t0 + 1))
     seen = term_counts(sample).where("n1 >= 3")
     good = seen.withColumns({"surprise": surprise, "odds": odds}).where("surprise >= 24 and odds >= 1.5")
-    rows = good.orderBy(F.desc("surprise"), "is_stem", F.desc(F.length("term")), "term").limit(20 * TERMS).collect()
-    kept: list = []
-    for r in rows:
-        same = any(
-            (k["is_stem"] and r["term"].startswith(k["term"]) and r["odds"] <= k["odds"] + 1.0) or (r["is_stem"] and k["term"].startswith(r["term"]) and k["n1"] >= 0.7 * r["n1"])
-            for k in kept
-        )
-        if not same:
-            kept.append(r)
-        if len(kept) == TERMS:
-            break
-    return [(r["term"], r["is_stem"], r["odds"]) for r in kept]
+    kept: list[tuple[str, bool, float]] = []
+    stems: dict[str, float] = {}  # a kept stem's odds
+    begun: dict[str, int] = {}  # the documents of the commonest kept term that begins so
+    for r in good.orderBy(F.desc("surprise"), "is_stem", F.desc(F.length("term")), "term").collect():
+        term, stem = r["term"], r["is_stem"]
+        begins = [term[:k] for k in STEM_LENGTHS if k <= len(term)]
+        if any(r["odds"] <= stems[b] + 1.0 for b in begins if b in stems) or (stem and begun.get(term, 0) >= 0.7 * r["n1"]):
+            continue
+        kept.append((term, stem, r["odds"]))
+        if stem:
+            stems[term] = r["odds"]
+        for b in begins:
+            begun[b] = max(begun.get(b, 0), r["n1"])
+    return kept
 
 
 def scores(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic", key: str = "doc_id", bound: int = BOUND) -> DataFrame:
     """All columns of ``docs`` and ``score`` (0 to 1), learned from ``label`` of the rows of ``labels`` that ``allowed`` lets in.
 
-    Whole texts are scored; a null text scores as an empty one. Repeated rows
-    score alike. Without labels, or with one kind only, every text gets the
+    Whole texts are scored, however long their words; a null text scores as an
+    empty one. Repeated rows score alike, and an empty table gives none. Without labels, or with one kind only, every text gets the
     smoothed share of label 1. A column named score is replaced.
     """
     sample = labelled_sample(docs, labels, label, allowed, bound, key)
