@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Names that Spark takes for a zone; those left out stand for no zone.
-ZONES = sorted(available_timezones() - {"Factory", "localtime"})
+ZONES = sorted(available_timezones() - {"Factory", "localtime", "ROC"})
 _OFFSET = r"^UTC[+-](0\d|1[0-4]):[0-5]\d$"
 
 
