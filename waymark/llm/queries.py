@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from waymark.llm import decontaminate, huffman, mixing, near, pii, quality, rules, tokens, toxicity, warc
+from waymark.llm import decontaminate, exact, huffman, mixing, near, pii, quality, rules, tokens, toxicity, warc
 
 
 def queries() -> dict:
@@ -18,9 +18,10 @@ def queries() -> dict:
         "op8_token_counts": tokens.op8_token_counts,
         "op9_personal_data": pii.op9_personal_data,
         "op10_token_ids": huffman.op10_token_ids,
+        "op13_exact_dedup": exact.op13_exact_dedup,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontaminate.OP1_SQL, "op2_mixing": mixing.OP2_SQL, "op3_warc": warc.OP3_SQL}
+    return {"op1_decontamination": decontaminate.OP1_SQL, "op2_mixing": mixing.OP2_SQL, "op3_warc": warc.OP3_SQL, "op13_exact_dedup": exact.OP13_SQL}
