@@ -71,16 +71,17 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id",
         .withColumn("nth", F.row_number().over(run.orderBy(first)))
         .withColumn("group_size", F.count(F.lit(1)).over(run))
     )
-    found = stage(spark, sorted_rows.drop("leading", "starts"), "exact-runs")
+    found = stage(spark, sorted_rows.drop("starts"), "exact-runs")
     best = F.max if largest else F.min
-    heads = found.where(F.col("head").isNotNull()).select("hash", "head", "deal", "run", "keep_id", "group_size")
+    heads = found.where(F.col("head").isNotNull()).select(*place, "head", "run", "keep_id", "group_size")
     same = Window.partitionBy("hash", "head")
     winner = F.row_number().over(same.orderBy(F.col("keep_id").desc_nulls_last() if largest else F.col("keep_id").asc_nulls_last(), "deal", "run")) == 1
+    at = [*place, "run"]
     merged = heads.select(
-        F.col("hash").alias("hash_"), F.col("deal").alias("deal_"), F.col("run").alias("run_"),
+        *[F.col(c).alias(f"{c}_") for c in at],
         best("keep_id").over(same).alias("all_keep"), F.sum("group_size").over(same).alias("all_size"), winner.alias("wins"),
     )
-    both = found.join(F.broadcast(merged), (F.col("hash") == F.col("hash_")) & (F.col("deal") == F.col("deal_")) & (F.col("run") == F.col("run_")), "left")
+    both = found.join(F.broadcast(merged), [F.col(c) == F.col(f"{c}_") for c in at], "left")
     split = F.col("all_size").isNotNull()
     return both.select(
         F.col("key").alias(key), F.when(split, F.col("all_keep")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("all_size", "group_size").alias("group_size"),
