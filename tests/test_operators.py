@@ -60,6 +60,50 @@ def test_scan_in_parts_is_the_scan(spark):
     assert parts == [(a, b) for a, b, *_ in whole] and len(parts) > 20
 
 
+def trace(n, seed):
+    """A dense trace without jumps: walks and drives a step every 20 seconds between places of long and short stays."""
+    rnd = np.random.default_rng(seed)
+    ts, lat, lon, at, t = [], [], [], np.array([35.0, 139.0]), 1_700_000_000
+    while len(ts) < n:
+        for _ in range(int(rnd.integers(20, 200))):  # a stay, with a gap now and then
+            t += int(rnd.choice([20, 60, 5000], p=[0.7, 0.295, 0.005]))
+            ts.append(t), lat.append(at[0] + rnd.normal(0, 2e-4)), lon.append(at[1] + rnd.normal(0, 2e-4))
+        way = rnd.normal(0, 1, 2) * rnd.choice([2.5e-4, 1e-3])
+        for _ in range(int(rnd.integers(10, 80))):
+            at, t = at + way, t + 20
+            ts.append(t), lat.append(at[0]), lon.append(at[1])
+    return ts[:n], lat[:n], lon[:n]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_no_stay_crosses_a_safe_cut(seed):
+    ts, lat, lon = (np.array(x) for x in trace(3000, seed))
+    ts = ts * 1_000_000
+    cuts = np.flatnonzero(stays.safe_cuts(ts, lat, lon, Params()))
+    whole, _ = stays.scan(ts, lat, lon, Params())
+    assert len(cuts) > 100 and len(whole) > 10
+    for c in cuts[:: max(1, len(cuts) // 40)]:
+        before, _ = stays.scan(ts[:c], lat[:c], lon[:c], Params())
+        after, _ = stays.scan(ts[c:], lat[c:], lon[c:], Params())
+        assert [s[:2] for s in before] + [(s[0] + c, s[1] + c) for s in after] == [s[:2] for s in whole]
+
+
+def test_long_traces_are_dealt_out_with_the_same_result(spark):
+    rows = []
+    for user in range(4):
+        ts, lat, lon = trace(4000 if user < 2 else 150, user + 10)
+        if user == 1:  # never leaves the place: no cut anywhere
+            lat, lon = 35 + (np.array(lat) - 35) * 1e-6, 139 + (np.array(lon) - 139) * 1e-6
+        rows += [(user, t, float(a), float(b), "gps" if i % 2 else None) for i, (t, a, b) in enumerate(zip(ts, lat, lon))]
+    pings = spark.createDataFrame(rows, "user_id long, t long, lat double, lon double, source_kind string").select("user_id", F.timestamp_seconds("t").cast("timestamp_ntz").alias("ts"), "lat", "lon", F.lit(None).cast("double").alias("accuracy_m"), "source_kind")
+    plain = sorted(map(repr, stays.cluster_stays(pings, Params()).collect()))
+    assert sorted(map(repr, stays.cluster_stays(pings, Params(), most=300).collect())) == plain
+    big = pings.select("user_id", points.micros(F.col("ts")).alias("us_"), "lat", "lon").where("user_id < 2")
+    parts = {(r["user_id"], r["part"]): r["count"] for r in stays._dealt(big, 8000, Params(), 300).groupBy("user_id", "part").count().collect()}
+    assert sum(u == 0 for u, _ in parts) > 8 and max(n for (u, _), n in parts.items() if u == 0) < 1500
+    assert sum(u == 1 for u, _ in parts) == 1
+
+
 def test_dbscan_is_that_of_the_plain_rule(spark):
     rnd, rows, eps = random.Random(8), [], 150.0
     for u in range(12):

@@ -8,20 +8,26 @@ batches. Two neighbours more than twice the radius apart, or parted by such a ga
 are never in one stay, and the scan starts anew behind them; where the pings of
 the shortest stay already spread too far, array operations settle that none begins there.
 What is held in memory is the stay that is open, and no more.
+
+A user with more pings than one task should have is dealt out over several:
+sorted ranges of the trace are cut where no stay can go across (``safe_cuts``),
+and what stands in a range before its first cut goes to the range before it.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import EARTH_RADIUS_M, haversine_m
 from waymark.functions.time import local_date, local_midnight_utc
+from waymark.operators.graph import written
 from waymark.operators.points import micros, seconds_between
 from waymark.params import Params
 
@@ -29,6 +35,8 @@ _STAY = "user_id long, start long, end long, lat double, lon double, radius_m do
 SCANNED = f"is_stay boolean, {_STAY}"
 #: Pings of an unfinished segment that are held before it is scanned as far as it goes.
 HELD = 100_000
+#: Pings of one user that a task takes; traces of more are cut.
+MOST = 2_000_000
 
 
 def _metres(lat, lon, lats, lons):
@@ -106,6 +114,30 @@ def scan(ts: np.ndarray, lat: np.ndarray, lon: np.ndarray, p: Params, final: boo
             i += 1
 
 
+def safe_cuts(ts: np.ndarray, lat: np.ndarray, lon: np.ndarray, p: Params) -> np.ndarray:
+    """For one user's sorted pings, whether no stay holds both a ping and the one before it, whatever else precedes or follows.
+
+    That is so across a jump of more than twice the radius or a gap that ends
+    stays. It is also so while the user moves on: members of a stay lie within
+    twice the radius of each other, so a stay with the ping lies between the
+    nearest pings before and after that are farther off; if these leave less than
+    the shortest stay, there is none. The scan always starts anew at such a ping.
+    """
+    n, far = len(ts), 2 * p.radius_m
+    out = np.zeros(n, bool)
+    if n < 2:
+        return out
+    gap, step = np.diff(ts) / 1e6, _metres(lat[:-1], lon[:-1], lat[1:], lon[1:])
+    out[1:] = ((gap > p.gap_s) & ((step >= p.radius_m) | (gap > p.longest_inferred_s))) | (step > far)
+    for share in (0.45, 0.2, 0.7):
+        before = np.searchsorted(ts, ts - int(share * p.dwell_s * 1e6), side="left") - 1
+        after = np.searchsorted(ts, ts + int((0.9 - share) * p.dwell_s * 1e6), side="right")
+        ok = np.flatnonzero((before >= 0) & (after < n) & ~out)
+        ok = ok[(_metres(lat[ok], lon[ok], lat[before[ok]], lon[before[ok]]) > far) & (_metres(lat[ok], lon[ok], lat[after[ok]], lon[after[ok]]) > far)]
+        out[ok] = True
+    return out
+
+
 def _found(user: int, ts: np.ndarray, lat: np.ndarray, lon: np.ndarray, kinds: np.ndarray, stays: list[tuple], upto: int) -> pa.RecordBatch:
     """Stays and moving pings of the first ``upto`` pings, in the columns of SCANNED."""
     moving = np.ones(upto, bool)
@@ -122,16 +154,19 @@ def _found(user: int, ts: np.ndarray, lat: np.ndarray, lon: np.ndarray, kinds: n
     return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in SCANNED.split(", ")])
 
 
-def runs_of_users(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, bool]]:
-    """(user, rows, whether they are the user's last) of batches sorted by user_id, their first column."""
+def runs_of_users(batches: Iterator[pa.RecordBatch], *also: str) -> Iterator[tuple[int, pa.RecordBatch, bool]]:
+    """(user, rows, whether they are the last of the run) of batches sorted by user_id, their first column, and the columns ``also``; a run has equal ones."""
     held: tuple[int, pa.RecordBatch] | None = None
+    key: tuple = ()
     for batch in batches:
-        users = batch.column(0).to_numpy(zero_copy_only=False)
-        edges = [0, *(np.flatnonzero(users[1:] != users[:-1]) + 1).tolist(), len(users)] if len(users) else [0]
+        keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in (0, *also)]
+        changes = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+        edges = [0, *(np.flatnonzero(changes) + 1).tolist(), len(batch)] if len(batch) else [0]
         for a, b in zip(edges, edges[1:]):
+            now = tuple(k[a] for k in keys)
             if held is not None:
-                yield *held, held[0] != users[a]
-            held = (int(users[a]), batch.slice(a, b - a))
+                yield *held, key != now
+            held, key = (int(now[0]), batch.slice(a, b - a)), now
     if held is not None:
         yield *held, True
 
@@ -141,17 +176,64 @@ def by_user(rows: DataFrame, *order: str) -> DataFrame:
     return rows.repartition("user_id").sortWithinPartitions("user_id", *order)
 
 
-def cluster_stays(points: DataFrame, p: Params, *tie: str) -> DataFrame:
-    """Stays and moving pings: user_id, is_stay, start, end, lat, lon, radius_m, point_count, inferred_s, inferred_ratio, source_kinds."""
+def _heads(p: Params) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of sorted ranges with the range's number, and whether they stand before the first safe cut of the range's first user."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, kept, wait, searching, first_user = TaskContext.get().partitionId(), [], 0, True, None
+
+        def marked(rows: pa.RecordBatch, cut: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(len(rows), part)), pa.array(np.arange(len(rows)) < cut)], names=[*rows.schema.names, "part", "head"])
+
+        for user, rows, last in runs_of_users(batches):
+            first_user = user if first_user is None else first_user
+            if not searching or user != first_user:
+                yield marked(rows, 0)
+                continue
+            kept.append(rows)
+            if last or sum(map(len, kept)) >= wait:
+                held = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+                at = [held.column(i).to_numpy(zero_copy_only=False) for i in range(1, 4)]
+                cuts = np.flatnonzero(safe_cuts(*at, p))
+                if len(cuts) or last:
+                    yield marked(held, int(cuts[0]) if len(cuts) else len(held))
+                    kept, searching = [], False
+                wait = 2 * len(held)
+
+    return run
+
+
+def _dealt(big: DataFrame, n: int, p: Params, most: int, *tie: str) -> DataFrame:
+    """Rows of long traces with ``part``: the sorted range whose task scans them."""
+    spark, order = big.sparkSession, ["user_id", "us_", *tie]
+    ranges = big.repartitionByRange(max(2, -(-n // most)), *order).sortWithinPartitions(*order)
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in big.schema)
+    marked = written(spark, ranges.mapInArrow(_heads(p), f"{types}, part long, head boolean"), "ranges")
+    # A row for each range and user in it.
+    parts = marked.groupBy(F.col("user_id").alias("user_"), F.col("part").alias("part_")).agg(F.bool_or(~F.col("head")).alias("body"))
+    earlier = Window.partitionBy("user_").orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.last(F.when(F.col("body"), F.col("part_")), ignorenulls=True).over(earlier)
+    # Without a cut anywhere before, the trace's first range has the rows.
+    parts = parts.withColumn("owner", F.coalesce(own, F.min("part_").over(Window.partitionBy("user_"))))
+    both = marked.join(parts, (F.col("user_id") == F.col("user_")) & (F.col("part") == F.col("part_")))
+    return both.withColumn("part", F.when(F.col("head"), F.col("owner")).otherwise(F.col("part"))).drop("user_", "part_", "body", "owner", "head")
+
+
+def cluster_stays(points: DataFrame, p: Params, *tie: str, most: int = MOST) -> DataFrame:
+    """Stays and moving pings: user_id, is_stay, start, end, lat, lon, radius_m, point_count, inferred_s, inferred_ratio, source_kinds.
+
+    Users of more than ``most`` pings are dealt out over tasks of about so many,
+    as far as their traces have safe cuts; the rest go by user. The result is the same.
+    """
     points = points.where(F.col("accuracy_m").isNull() | (F.col("accuracy_m") <= p.accuracy_max_m))
     kind = F.col("source_kind") if "source_kind" in points.columns else F.lit("")
-    rows = by_user(points.select("user_id", micros(F.col("ts")).alias("us_"), "lat", "lon", F.coalesce(kind, F.lit("")).alias("kind_"), *tie), "us_", *tie)
+    rows = points.select("user_id", micros(F.col("ts")).alias("us_"), "lat", "lon", F.coalesce(kind, F.lit("")).alias("kind_"), *tie)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], *also: str) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] | None = None
         wait = HELD
-        for user, rows, last in runs_of_users(batches):
-            new = [rows.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5)]
+        for user, piece, last in runs_of_users(batches, *also):
+            new = [piece.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5)]
             kept = new if kept is None else [np.concatenate([a, b]) for a, b in zip(kept, new)]
             if last or len(kept[0]) >= wait:
                 stays, upto = scan(kept[0], kept[1], kept[2], p, last)
@@ -161,7 +243,15 @@ def cluster_stays(points: DataFrame, p: Params, *tie: str) -> DataFrame:
                 # What stays open is scanned again only when there is as much more of it.
                 wait = HELD if last else max(HELD, 2 * len(kept[0]))
 
-    got = rows.mapInArrow(run, SCANNED)
+    counts = written(points.sparkSession, rows.groupBy(F.col("user_id").alias("user_")).agg(F.count("*").alias("n_")).where(F.col("n_") > most), "long-traces")
+    n = counts.agg(F.sum("n_")).first()[0]
+    if not n:
+        got = by_user(rows, "us_", *tie).mapInArrow(run, SCANNED)
+    else:
+        same = F.col("user_id") == F.col("user_")
+        big = _dealt(rows.join(counts.drop("n_"), same, "left_semi"), n, p, most, *tie)
+        dealt = big.repartition("user_id", "part").sortWithinPartitions("user_id", "part", "us_", *tie)
+        got = by_user(rows.join(counts, same, "left_anti"), "us_", *tie).mapInArrow(run, SCANNED).unionByName(dealt.mapInArrow(lambda batches: run(batches, "part"), SCANNED))
     time = lambda c: F.timestamp_micros(F.col(c)).cast("timestamp_ntz").alias(c)
     return got.select("user_id", "is_stay", time("start"), time("end"), "lat", "lon", "radius_m", "point_count", "inferred_s", "inferred_ratio", "source_kinds")
 
