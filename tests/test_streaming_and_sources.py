@@ -1,9 +1,10 @@
 import datetime
 import json
+import random
 
 import pytest
 
-from waymark.sources import timeline
+from waymark.sources import json_split, timeline
 from waymark.streaming import pings as stream
 
 T = datetime.datetime(2024, 3, 1, 10)
@@ -53,3 +54,37 @@ def test_timeline_records(spark, tmp_path):
     odd = spark.createDataFrame([("x",)], "startTime string").selectExpr("from_json('{\"startTime\": \"x\"}', '" + timeline.RECORD + "') r").select("r.*")
     with pytest.raises(Exception, match="unknown record"):
         timeline.with_kind(odd, strict=True).collect()
+
+
+def odd_record(rnd, i):
+    text = lambda: "".join(rnd.choice('ab{}[]"\\,: \u00e9') for _ in range(rnd.randint(0, 12)))
+    return {"id": i, text() + "k": text(), "list": [{"a": text()} for _ in range(rnd.randint(0, 3))], "deep": {"x": {"y": [text(), {}]}}}
+
+
+@pytest.mark.parametrize(("block", "shape"), [(401, "array"), (401, "object"), (301, "several"), (5000, "object"), (5000, "empty")])
+def test_json_records_of_any_split(spark, tmp_path, block, shape):
+    """Whatever bytes a task's block begins with, the records are those of the whole value."""
+    rnd = random.Random(block)
+    files = {}
+    for f in range(2):
+        records = [odd_record(rnd, 1000 * f + i) for i in range(0 if shape == "empty" else 25)]
+        dump = lambda v: json.dumps(v, ensure_ascii=False, indent=rnd.choice([None, 1]))  # noqa: B023, E731
+        if shape in ("array", "empty"):
+            text = dump(records)
+        elif shape == "object":
+            text = dump({"before": [{"id": -1}], "settings": {"a": {"semanticSegments": [{"id": -2}]}}, "semanticSegments": records, "after": [[{"id": -3}], {"b": 1}]})
+        else:
+            text = "\n".join(json.dumps({"semanticSegments": records[i : i + 7], "x": [{"id": -4}]}, ensure_ascii=False) for i in range(0, 25, 7))
+        (tmp_path / f"f{f}.json").write_text(text, encoding="utf-8")
+        files[f"f{f}.json"] = records
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    try:
+        got = json_split.json_records(spark, str(tmp_path / "*.json"), "semanticSegments").collect()
+        tasks = json_split._blocks(spark, str(tmp_path / "*.json")).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert block == 5000 or tasks > 8
+    for name, want in files.items():
+        own = sorted((json.loads(r["text"]) for r in got if r["file"].endswith(name)), key=lambda r: r["id"])
+        assert own == want

@@ -40,8 +40,7 @@ def _export(spark, sf):
 
 
 def _records(spark, sf):
-    # One object a line here; a single object over many lines is read with multiLine.
-    return timeline.read_timeline(spark, _export(spark, sf), lines=True)
+    return timeline.read_timeline(spark, _export(spark, sf))
 
 
 @query("A1_timeline_records", "SELECT CASE event_type WHEN 'signup' THEN 'visit' WHEN 'click' THEN 'activity' WHEN 'view' THEN 'path' ELSE 'memory' END AS kind, count(*) AS records FROM events GROUP BY 1")

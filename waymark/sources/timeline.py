@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from waymark.functions.geo import parse_latlng
 from waymark.functions.text import map_activity_type
 from waymark.functions.time import offset_label
+from waymark.sources.json_split import json_records
 
 _PLACE = "struct<latLng: string>"
 RECORD = (
@@ -18,22 +19,10 @@ RECORD = (
 )
 
 
-def read_timeline(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Records of exports that are an array, or an object with them in semanticSegments.
-
-    A file that is one JSON value is read by one task, as it can't be split; exports too large for
-    that are cut into ``lines`` of a record, an array or an object each, which are read in parallel.
-    """
-    got = spark.read.schema(f"semanticSegments array<struct<{_fields(RECORD)}>>, {RECORD}").json(path, multiLine=not lines)
-    wrapped = got.where("semanticSegments is not null").select(F.inline("semanticSegments"))
-    return wrapped.unionByName(got.where("semanticSegments is null").drop("semanticSegments"))
-
-
-def _fields(ddl: str) -> str:
-    """Column definitions as the fields of a struct."""
-    from pyspark.sql.types import StructType
-
-    return ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in StructType.fromDDL(ddl).fields)
+def read_timeline(spark: SparkSession, path: str) -> DataFrame:
+    """Records of exports that are an array, or an object with them in semanticSegments; a file may be one value of any size, or many after each other."""
+    records = json_records(spark, path, "semanticSegments")
+    return records.select(F.from_json("text", RECORD).alias("r")).select("r.*")
 
 
 def instant(text: Column) -> Column:
