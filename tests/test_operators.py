@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo, text
 from waymark.functions import time as times
-from waymark.operators import anchors, fusion, intervals, points, privacy, stays
+from waymark.operators import anchors, fusion, intervals, points, privacy, stays, tiles
 from waymark.params import Params
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -258,3 +258,60 @@ def test_fences_of_one_kind_merge_and_tiers_do_not(spark):
     f = spark.createDataFrame([(1, 35.0005, 139.0)], "user_id long, lat double, lon double")
     got = sorted((r["kind"], r["confidence"], r["visit_count"], round(r["lat"], 6)) for r in anchors.suggest_fences(a, f).collect())
     assert got == [("home", "confirmed", 40, 35.00075), ("home", "inferred", 5, 35.0005), ("work", "confirmed", 5, 35.0005)]
+
+
+def flat(lat, lon, n):
+    return (lon + 180) / 360 * n, (0.5 - math.asinh(math.tan(math.radians(lat))) / (2 * math.pi)) * n
+
+
+def clipped_length(a, b, box):
+    """Length of the segment in the box by Liang and Barsky's rule; None if it doesn't meet it."""
+    begin, end = 0.0, 1.0
+    for axis in (0, 1):
+        d = b[axis] - a[axis]
+        for edge, side in ((box[axis], -1), (box[axis + 2], 1)):
+            q = (edge - a[axis]) * side
+            if d == 0 and q < 0:
+                return None
+            if d * side > 0:
+                end = min(end, q / (d * side))
+            elif d * side < 0:
+                begin = max(begin, q / (d * side))
+    return (end - begin) * math.hypot(b[0] - a[0], b[1] - a[1]) if begin <= end else None
+
+
+def test_lines_in_tiles(spark):
+    """Cover and clips against all tiles of the box, one by one; a diagonal is in as many tiles as it is long."""
+    rnd = random.Random(4)
+    lines = [(1, [(35.0, 139.0), (35.5, 139.5)]), (2, [(0.0013, -0.001), (-0.001, 0.001)]), (3, [(35.0, 139.0)]), (4, []), (5, None), (6, [(10.0, 20.0)] * 3), (7, [(51.0, 0.1), (51.0, 0.4)])]
+    lines += [(10 + i, [(40 + rnd.random() / 20, -74 + rnd.random() / 20) for _ in range(rnd.randint(2, 9))]) for i in range(12)]
+    z, n, m = 14, 1 << 14, 64 / 4096
+    df = spark.createDataFrame([(i, [{"lat": a, "lon": b} for a, b in p] if p is not None else None, "x") for i, p in lines], "id int, points array<struct<lat: double, lon: double>>, x_ string")
+    cover = {(r["id"], r["x"], r["y"]) for r in tiles.tiles_of_lines(df, z).collect()}
+    clips = {(r["id"], r["x"], r["y"]): r["parts"] for r in tiles.clip_to_tiles(df, z).collect()}
+    for i, p in lines:
+        at = [flat(a, b, n) for a, b in p or []]
+        own, own_clips = {k[1:] for k in cover if k[0] == i}, {k[1:]: v for k, v in clips.items() if k[0] == i}
+        if not at:
+            assert not own and not own_clips
+            continue
+        if len(at) == 1:
+            at = at * 2
+        xs, ys = [math.floor(x) for x, _ in at], [math.floor(y) for _, y in at]
+        want, want_clips = set(), {}
+        for x in range(min(xs), max(xs) + 1):
+            for y in range(min(ys), max(ys) + 1):
+                if any(clipped_length(a, b, (x, y, x + 1, y + 1)) is not None for a, b in zip(at, at[1:])):
+                    want.add((x, y))
+                got = [v for a, b in zip(at, at[1:]) if (v := clipped_length(a, b, (x - m, y - m, x + 1 + m, y + 1 + m))) is not None]
+                if got:
+                    want_clips[(x, y)] = sum(got) * 4096
+        assert own == want
+        assert set(own_clips) == set(want_clips)
+        for k, parts in own_clips.items():
+            assert sum(math.hypot(b["x"] - a["x"], b["y"] - a["y"]) for p_ in parts for a, b in zip(p_, p_[1:])) == pytest.approx(want_clips[k], abs=1e-3)
+            assert all(-64.001 <= v["x"] <= 4160.001 and -64.001 <= v["y"] <= 4160.001 for p_ in parts for v in p_)
+    diagonal = sum(k[0] == 1 for k in cover)
+    assert 40 < diagonal < 120  # the box has over 600
+    shapes = tiles.tile_features(df, z).collect()
+    assert shapes and all(len(p_) > 1 and all(-64 <= v["x"] <= 4160 and -64 <= v["y"] <= 4160 for v in p_) for r in shapes for p_ in r["shape"])
