@@ -61,11 +61,14 @@ def geohash(lat: Column, lon: Column, precision: int) -> Column:
         return F.greatest(F.lit(0), F.ceil((x - low) / span * (1 << n)).cast("long") - 1)
 
     i, j = bins(lon, -180.0, 360.0, lon_bits), bins(lat, -90.0, 180.0, lat_bits)
-    code = F.lit(0).cast("long")
-    for k in range(bits):  # even places from longitude, odd ones from latitude, most significant first
-        source, left = (i, lon_bits - 1 - k // 2) if k % 2 == 0 else (j, lat_bits - 1 - k // 2)
-        code = code.bitwiseOR(F.shiftleft(F.shiftright(source, left).bitwiseAND(F.lit(1).cast("long")), bits - 1 - k))
-    letters = [F.substring(F.lit(GEOHASH_ALPHABET), (F.shiftright(code, 5 * (precision - 1 - p)).bitwiseAND(F.lit(31).cast("long")) + 1).cast("int"), F.lit(1)) for p in range(precision)]
+    # A letter's five bits alternate: three of one axis and two of the other, which take turns, longitude first.
+    turned = "".join(GEOHASH_ALPHABET[(a >> 2) << 4 | (b >> 1) << 3 | (a >> 1 & 1) << 2 | (b & 1) << 1 | a & 1] for a in range(8) for b in range(4))
+    letters = []
+    for p in range(precision):
+        three, two, of_three, of_two = (i, j, lon_bits, lat_bits) if p % 2 == 0 else (j, i, lat_bits, lon_bits)
+        high = F.shiftright(three, of_three - 1 - (5 * p + 4) // 2).bitwiseAND(F.lit(7).cast("long"))
+        low = F.shiftright(two, of_two - 1 - (5 * p + 3) // 2).bitwiseAND(F.lit(3).cast("long"))
+        letters.append(F.substring(F.lit(turned), (high * 4 + low + 1).cast("int"), F.lit(1)))
     return F.when(lat.isNotNull() & lon.isNotNull(), F.concat(*letters))
 
 

@@ -213,8 +213,12 @@ _NO_SPOT = "f AS (SELECT user_id, event_id AS photo_id, ts + INTERVAL 3 MINUTE A
 
 @query("F15_inferred_positions", f"""WITH {PINGS}, {_NO_SPOT}, u AS (SELECT user_id, ts, max(lat) AS lat, max(lon) AS lon FROM pings WHERE event_id % 5 > 0 GROUP BY ALL),
 b AS (SELECT f.photo_id, arg_max({{'ts': u.ts, 'lat': u.lat, 'lon': u.lon}}, u.ts) AS b FROM f JOIN u ON u.user_id = f.user_id AND u.ts <= f.ts GROUP BY 1), a AS (SELECT f.photo_id, arg_min({{'ts': u.ts, 'lat': u.lat, 'lon': u.lon}}, u.ts) AS a FROM f JOIN u ON u.user_id = f.user_id AND u.ts > f.ts GROUP BY 1),
-c AS (SELECT f.*, b, a, (epoch_us(f.ts) - epoch_us(b.ts)) / 1e6 AS db, (epoch_us(a.ts) - epoch_us(f.ts)) / 1e6 AS da, {hav('b.lat', 'b.lon', 'a.lat', 'a.lon')} AS far FROM f LEFT JOIN b USING (photo_id) LEFT JOIN a USING (photo_id))
-SELECT photo_id, round(CASE WHEN db + da <= 3600 THEN b.lat + (a.lat - b.lat) * db / (db + da) WHEN db <= 600 THEN b.lat WHEN da <= 600 THEN a.lat END, 6) AS lat, round(CASE WHEN db + da <= 3600 THEN b.lon + (a.lon - b.lon) * db / (db + da) WHEN db <= 600 THEN b.lon WHEN da <= 600 THEN a.lon END, 6) AS lon FROM c WHERE NOT (coalesce(db + da <= 3600, false) AND far >= 10000)""")
+c AS (SELECT f.*, b, a, (epoch_us(f.ts) - epoch_us(b.ts)) / 1e6 AS db, (epoch_us(a.ts) - epoch_us(f.ts)) / 1e6 AS da, {hav('b.lat', 'b.lon', 'a.lat', 'a.lon')} AS far FROM f LEFT JOIN b USING (photo_id) LEFT JOIN a USING (photo_id)),
+g AS (SELECT *, db / (db + da) AS t, far / 6371008.8 AS d FROM c),
+v AS (SELECT *, sin((1 - t) * d) / nullif(sin(d), 0) AS p, sin(t * d) / nullif(sin(d), 0) AS q FROM g),
+x AS (SELECT *, p * cos(radians(b.lat)) * cos(radians(b.lon)) + q * cos(radians(a.lat)) * cos(radians(a.lon)) AS x, p * cos(radians(b.lat)) * sin(radians(b.lon)) + q * cos(radians(a.lat)) * sin(radians(a.lon)) AS y, p * sin(radians(b.lat)) + q * sin(radians(a.lat)) AS z FROM v)
+SELECT photo_id, round(CASE WHEN db + da <= 3600 AND far >= 10000 THEN degrees(atan2(z, sqrt(x * x + y * y))) WHEN db + da <= 3600 THEN b.lat + (a.lat - b.lat) * t WHEN db <= 600 THEN b.lat WHEN da <= 600 THEN a.lat END, 6) AS lat,
+  round(CASE WHEN db + da <= 3600 AND far >= 10000 THEN degrees(atan2(y, x)) WHEN db + da <= 3600 THEN b.lon + (a.lon - b.lon) * t WHEN db <= 600 THEN b.lon WHEN da <= 600 THEN a.lon END, 6) AS lon FROM x""")
 def f15(spark, sf):
     f = table(spark, sf, "events").where("event_type = 'purchase' and event_id % 3 = 0").select("user_id", F.col("event_id").alias("photo_id"), (F.col("ts").cast("timestamp_ntz") + F.expr("interval 3 minutes")).alias("ts"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"))
     u = pings(spark, sf).where("event_id % 5 > 0").groupBy("user_id", "ts").agg(F.max("lat").alias("lat"), F.max("lon").alias("lon"))

@@ -111,6 +111,7 @@ TRACK_MODES = ("car", "bike", "walk", "transit", "unknown")
 def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """user_id, d, trip_id, t0, weekday, dep (minute of the day), n_nationkey."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("nation"))
+    c = c.repartition(spark.sparkContext.defaultParallelism, "user_id")  # the days of a row are many, and the file is small
     k, d = F.col("user_id"), F.col("d")
     p = c.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(DAYS - 1))))
     dep = F.when(k % 4 == 3, (k * 31 + d * 577) % 1080).otherwise(480 + (k * 7 + d * 3) % 20)

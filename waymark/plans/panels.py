@@ -265,7 +265,7 @@ def i5_search(spark, sf):
 @query("I7_expanded", f"""WITH {_WORLD} SELECT trip_id, (SELECT list(place_id ORDER BY start, place_id) FROM plan_places p WHERE p.trip_id = t.trip_id) AS places, coalesce((SELECT list(track_id ORDER BY start, track_id) FROM plan_tracks p WHERE p.trip_id = t.trip_id), []) AS tracks, coalesce((SELECT list(photo_id) FROM plan_photos p WHERE p.trip_id = t.trip_id), []) AS photos FROM plan_trips t""")
 def i7(spark, sf):
     e = organise.expand_trips(plan_trips(spark, sf), plan_places(spark, sf), plan_tracks(spark, sf), plan_photos(spark, sf))
-    return e.select("trip_id", *[F.transform(c, lambda x, k=k: x[k]).alias(c) for c, k in (("places", "place_id"), ("tracks", "track_id"), ("photos", "photo_id"))])
+    return e.select("trip_id", *[F.col(c).getField(k).alias(c) for c, k in (("places", "place_id"), ("tracks", "track_id"), ("photos", "photo_id"))])
 
 
 @query("I8_members", f"""WITH {PLAN_PLACES}, {PLAN_TRIPS}, {_GROUPED} SELECT 'trip' AS kind, trip_id AS id, local_date::TIMESTAMP AS at, false AS inherited FROM plan_trips WHERE group_id = 3 UNION ALL SELECT 'place', place_id, start, own_group IS NULL FROM grouped WHERE eff = 3""")
