@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo, text
 from waymark.functions import time as times
-from waymark.operators import anchors, fusion, intervals, points, privacy, stays, tiles
+from waymark.operators import anchors, commute, fusion, intervals, points, privacy, stays, tiles
 from waymark.params import Params
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -315,3 +315,36 @@ def test_lines_in_tiles(spark):
     assert 40 < diagonal < 120  # the box has over 600
     shapes = tiles.tile_features(df, z).collect()
     assert shapes and all(len(p_) > 1 and all(-64 <= v["x"] <= 4160 and -64 <= v["y"] <= 4160 for v in p_) for r in shapes for p_ in r["shape"])
+
+
+@pytest.mark.parametrize("block", [2000, 3])
+def test_likeness_of_ways_is_that_of_all_pairs(spark, monkeypatch, block):
+    """The upper median over all pairs of legs, however the ways are cut into blocks."""
+    monkeypatch.setattr(commute, "BLOCK", block)
+    rnd = random.Random(5)
+    legs, ways = [], [[(35 + rnd.random() / 10, 139 + rnd.random() / 10) for _ in range(12)] for _ in range(4)]
+    for user in (1, 2, None):
+        for to in range(6):
+            for _ in range([0, 1, 2, 7, 30, 31][to]):
+                way = [p for p in rnd.choice(ways) if rnd.random() < 0.8] if rnd.random() < 0.9 else []
+                legs.append((user, 1, None if to == 3 else to, [{"lat": a, "lon": b} for a, b in way]))
+    df = spark.createDataFrame(legs, "user_id long, from_anchor long, to_anchor long, points array<struct<lat: double, lon: double>>")
+    got = {tuple(r)[:3]: r["path_jaccard"] for r in commute.path_similarity(df).collect() if r["user_id"] is not None and r["to_anchor"] is not None}
+    cells = {i: {(math.ceil((p["lon"] + 180) / 360 * 32768), math.ceil((p["lat"] + 90) / 180 * 32768)) for p in leg[3]} for i, leg in enumerate(legs)}
+    for od in {leg[:3] for leg in legs if leg[0] is not None and leg[2] is not None}:
+        own = [cells[i] for i, leg in enumerate(legs) if leg[:3] == od and leg[3]]
+        scores = sorted(len(a & b) / len(a | b) for i, a in enumerate(own) for b in own[i + 1 :])
+        assert got[od] == (scores[len(scores) // 2] if len(own) > 1 else float(len(own)))
+
+
+def test_geohash_at_every_precision(spark):
+    """Against bits interleaved one by one."""
+    rnd = random.Random(6)
+    spots = [(rnd.uniform(-90, 90), rnd.uniform(-180, 180)) for _ in range(40)] + [(-90.0, -180.0), (90.0, 180.0), (0.0, 0.0)]
+    df = spark.createDataFrame(spots, "lat double, lon double")
+    got = df.select("lat", "lon", *[geo.geohash(F.col("lat"), F.col("lon"), n).alias(f"g{n}") for n in range(1, 13)]).collect()
+    for r in got:
+        for n in range(1, 13):
+            i, j = max(0, math.ceil((r["lon"] + 180) / 360 * (1 << (5 * n + 1) // 2)) - 1), max(0, math.ceil((r["lat"] + 90) / 180 * (1 << 5 * n // 2)) - 1)
+            bits = [(i >> ((5 * n + 1) // 2 - 1 - k // 2) if k % 2 == 0 else j >> (5 * n // 2 - 1 - k // 2)) & 1 for k in range(5 * n)]
+            assert r[f"g{n}"] == "".join(geo.GEOHASH_ALPHABET[int("".join(map(str, bits[5 * p : 5 * p + 5])), 2)] for p in range(n))
