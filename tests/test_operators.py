@@ -6,6 +6,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,7 +177,108 @@ def test_thinning_counts_from_the_last_kept_vertex(spark):
     assert [(p["lat"], p["lon"]) for p in got[0]] == kept and got[1] is None
 
 
-# --- fences ---------------------------------------------------------------------------------
+# --- fences: the rules line by line, and the operator against them ------------------------------
+
+DEGREE = math.radians(1) * geo.EARTH_RADIUS_M
+
+
+def _inside(line: np.ndarray, fence: tuple[float, float, float]) -> np.ndarray:
+    """For each segment of a line (lat, lon rows) the part of it that lies in the circle, from and to in 0 to 1; from 1 to 0 where none does."""
+    lat, lon, r = fence
+    # The plane around the centre shrinks and stretches a little; the circle is taken as much larger.
+    r = r * (1 + 0.6 * r / geo.EARTH_RADIUS_M * abs(math.tan(math.radians(lat))) + 1e-6) + 0.05
+    y = (line[:, 0] - lat) * DEGREE
+    x = ((line[:, 1] - lon + 180) % 360 - 180) * DEGREE * math.cos(math.radians(lat))
+    dx, dy = np.diff(x), np.diff(y)
+    a, b, c = dx * dx + dy * dy, x[:-1] * dx + y[:-1] * dy, x[:-1] ** 2 + y[:-1] ** 2 - r * r
+    root = b * b - a * c
+    some, still = (a > 0) & (root > 0), (a == 0) & (c < 0)
+    safe, s = np.where(a > 0, a, 1.0), np.sqrt(np.maximum(root, 0))
+    t0, t1 = np.clip((-b - s) / safe, 0, 1), np.clip((-b + s) / safe, 0, 1)
+    out = np.column_stack([np.where(some, t0, np.where(still, 0.0, 1.0)), np.where(some, t1, np.where(still, 1.0, 0.0))])
+    return np.where((out[:, :1] < out[:, 1:]), out, [[1.0, 0.0]])
+
+
+def plain_cut(line: np.ndarray, fences: list[tuple[float, float, float]]) -> list[tuple[np.ndarray, bool, bool]]:
+    """The parts of a line outside of all circles (lat, lon, radius), and whether their first and last points are cuts."""
+    spans = [_inside(line, f) for f in fences]
+    parts: list[tuple[np.ndarray, bool, bool]] = []
+    open_: list[np.ndarray] = [line[0]]
+    cut_start, at_start = False, True
+    for i in range(len(line) - 1):
+        a, b = line[i], line[i + 1]
+        within = sorted((s[i, 0], s[i, 1]) for s in spans if s[i, 0] < s[i, 1])
+        u = 0.0
+        for t0, t1 in within:
+            if t0 > u:
+                # Outside from u to t0.
+                if not open_:
+                    open_, cut_start = [a + (b - a) * u], True
+                parts.append((np.array([*open_, a + (b - a) * t0]), cut_start, True))
+                open_ = []
+            elif open_ and t0 <= u == 0.0:
+                # A vertex on or in the circle: what came before ends there.
+                if len(open_) > 1 or not at_start:
+                    parts.append((np.array(open_), cut_start, True))
+                open_ = []
+            u = max(u, t1)
+        if u < 1.0:
+            if not open_:
+                open_, cut_start = [a + (b - a) * u], True
+            open_.append(b)
+        at_start = False
+    if len(open_) > 1:
+        parts.append((np.array(open_), cut_start, False))
+    return [p for p in parts if len(p[0]) > 1]
+
+
+def _lengths(line: np.ndarray) -> np.ndarray:
+    p, q = np.radians(line[:-1]), np.radians(line[1:])
+    h = np.sin((q[:, 0] - p[:, 0]) / 2) ** 2 + np.cos(p[:, 0]) * np.cos(q[:, 0]) * np.sin((q[:, 1] - p[:, 1]) / 2) ** 2
+    return 2 * geo.EARTH_RADIUS_M * np.arcsin(np.minimum(1.0, np.sqrt(h)))
+
+
+def _trimmed(line: np.ndarray, head: float, tail: float) -> np.ndarray:
+    """A line without its first ``head`` and last ``tail`` metres."""
+    along = np.concatenate([[0.0], np.cumsum(_lengths(line))])
+    a, b = head, along[-1] - tail
+    at = lambda d: np.array([np.interp(d, along, line[:, 0]), np.interp(d, along, line[:, 1])])
+    keep = (along > a) & (along < b)
+    return np.vstack([at(a), line[keep], at(b)])
+
+
+def plain_jittered(parts: list[tuple[np.ndarray, bool, bool]], radius: float, seed: int) -> list[np.ndarray]:
+    """Parts with their cut ends moved back by up to privacy.JITTER of the radius; those of less than a metre, or that this uses up, go."""
+    out = []
+    for i, (line, first, last) in enumerate(parts, 1):
+        length = float(_lengths(line).sum())
+        head = radius * privacy.JITTER * privacy.unit(seed, 2 * i) if first else 0.0
+        tail = radius * privacy.JITTER * privacy.unit(seed, 2 * i + 1) if last else 0.0
+        if length >= 1 and head + tail < length:
+            out.append(_trimmed(line, head, tail) if head or tail else line)
+    return out
+
+
+def _snapped(line: np.ndarray, grid_m: float) -> np.ndarray:
+    step = grid_m / 111_320.0
+    snapped = np.rint(line / step) * step
+    new = np.append(True, (np.diff(snapped, axis=0) != 0).any(axis=1))
+    return snapped[new] if new.sum() > 1 else line
+
+
+def fenced_lines(lines: list[np.ndarray], action: str, fences: list[dict], jitter: bool = True, grid_m: float = privacy.GRID_M) -> list[np.ndarray]:
+    """Lines after one action by the union of some fences; without ``jitter`` the ends stay where they were cut, which nobody else may see."""
+    circles = [(f["lat"], f["lon"], f["radius_m"]) for f in fences]
+    if action == "blur":
+        hit = [any((s[:, 0] < s[:, 1]).any() for s in (_inside(x, c) for c in circles)) for x in lines]
+        if not any(hit):
+            return lines
+        lines = [_snapped(x, grid_m) for x in lines]
+    parts = [p for x in lines for p in plain_cut(x, circles)]
+    if not jitter:
+        return [p[0] for p in parts]
+    return plain_jittered(parts, max(f["radius_m"] for f in fences), min(f["jitter_seed"] for f in fences))
+
 
 def lines_and_fences(seed, n=60):
     rnd, lines, fences = random.Random(seed), [], []
@@ -220,27 +322,75 @@ def test_nothing_of_a_line_lies_in_a_fence(spark, policy):
     assert inside == 0
 
 
+SPOTS = pa.list_(pa.struct([("lat", pa.float64()), ("lon", pa.float64())]))
+CIRCLES = pa.list_(pa.struct([("fence_id", pa.int64()), ("lat", pa.float64()), ("lon", pa.float64()), ("radius_m", pa.float64()), ("jitter_seed", pa.int64()), ("action", pa.string())]))
+
+
+@pytest.mark.parametrize("steps", ["remove", "blur", "each"])
+@pytest.mark.parametrize("jitter", [True, False])
+def test_a_batch_of_lines_is_cut_as_line_by_line(steps, jitter):
+    for seed in range(6):
+        lines, fences = lines_and_fences(seed, 25)
+        rnd, of = random.Random(seed), {}
+        for u, i, lat, lon, r, s, _ in fences:
+            of.setdefault(u, []).append({"fence_id": i, "lat": lat, "lon": lon, "radius_m": r, "jitter_seed": s + i % 3, "action": rnd.choice(["remove", "blur", "other"])})
+        points = [p for _, _, p in lines] + [None, [], lines[0][2][:1], [{"lat": f["lat"], "lon": f["lon"]} for f in of[0][:1]] * 3]
+        own = [of[u] for u, _, _ in lines] + [of[0], of[1], of[0], of[0]]
+        got = privacy.fence_batch(pa.array(points, SPOTS), pa.array(own, CIRCLES), steps, jitter).to_pylist()
+        for p, f, parts in zip(points, own, got):
+            want = [np.array([[v["lat"], v["lon"]] for v in p])] if p and len(p) > 1 else []
+            for action, some in ([(x["action"], [x]) for x in f] if steps == "each" else [(steps, f)]):
+                if want and action in ("remove", "blur"):
+                    want = fenced_lines(want, action, some, jitter)
+            assert [len(x) for x in parts] == [len(x) for x in want]
+            for x, y in zip(parts, want):
+                assert np.allclose([[v["lat"], v["lon"]] for v in x], y, atol=1e-8)
+
+
+def test_fences_at_the_date_line_leak_nothing(spark):
+    rnd, lines, fences = random.Random(8), [], []
+    for u in range(30):
+        lon = rnd.choice([179.99, -179.99, 180.0, 179.9999])
+        fences.append((u, u, 10.0, lon, 500.0, u, True))
+        a, o, line = 10.0 + rnd.uniform(-0.02, 0.02), lon - 0.03, []
+        for _ in range(30):
+            a, o = a + rnd.uniform(-0.002, 0.002), o + rnd.uniform(0, 0.004)
+            line.append({"lat": a, "lon": (o + 180) % 360 - 180})
+        lines += [(u, u, line), (u, 100 + u, [{"lat": 10.0, "lon": 179.5}, {"lat": 10.0, "lon": -179.5}]), (u, 200 + u, [{"lat": 10.0, "lon": -179.9}, {"lat": 10.001, "lon": 179.9}])]
+    g, f = spark.createDataFrame(lines, LINES), spark.createDataFrame(fences, FENCES)
+    got = {r["geom_id"]: r["parts"] for r in privacy.fence_remove(g, f).collect()}
+    for u, i, line in lines:
+        centre = (10.0, fences[u][3])
+        assert all(-180 <= v["lon"] <= 180 for part in got[i] for v in part)
+        for part in got[i]:
+            for a, b in zip(part, part[1:]):
+                turn = (b["lon"] - a["lon"] + 180) % 360 - 180
+                assert all(metres((a["lat"] + (b["lat"] - a["lat"]) * t, a["lon"] + turn * t), centre) > 499 for t in np.linspace(0, 1, 400))
+        if i >= 100:
+            assert len(got[i]) == 2  # the way goes on behind the fence
+
+
 def test_parts_are_what_lies_outside():
     rnd = random.Random(11)
     for _ in range(300):
         line = np.array([[35 + rnd.uniform(-0.01, 0.01), 139 + rnd.uniform(-0.01, 0.01)] for _ in range(rnd.randint(2, 8))])
         circles = [(35 + rnd.uniform(-0.008, 0.008), 139 + rnd.uniform(-0.008, 0.008), rnd.choice([150.0, 400.0])) for _ in range(rnd.randint(1, 3))]
-        parts = privacy.cut(line, circles)
-        kept = sum(privacy._lengths(p).sum() for p, _, _ in parts)
+        parts = plain_cut(line, circles)
+        kept = sum(_lengths(p).sum() for p, _, _ in parts)
         outside = 0.0
         for a, b in zip(line, line[1:]):
             t = (np.arange(4000) + 0.5) / 4000
             q = a + (b - a) * t[:, None]
             free = np.all([[metres(x, c[:2]) > c[2] for x in q[::40]] for c in circles], axis=0)
-            outside += free.mean() * privacy._lengths(np.array([a, b])).sum()
-        assert abs(kept - outside) < 0.02 * privacy._lengths(line).sum() + 5
+            outside += free.mean() * _lengths(np.array([a, b])).sum()
+        assert abs(kept - outside) < 0.02 * _lengths(line).sum() + 5
 
 
 def test_cut_ends_spread_and_original_ends_stay():
     line = np.array([[39.9042, 116.4074 - 0.05 + 0.0005 * i] for i in range(201)])
     ends = []
     for seed in range(20):
-        parts = privacy.fenced_lines([line], "remove", [{"lat": 39.9042, "lon": 116.4074, "radius_m": 500.0, "jitter_seed": seed}])
+        parts = fenced_lines([line], "remove", [{"lat": 39.9042, "lon": 116.4074, "radius_m": 500.0, "jitter_seed": seed}])
         assert len(parts) == 2 and tuple(parts[0][0]) == tuple(line[0]) and tuple(parts[1][-1]) == tuple(line[-1])
         ends.append(metres(parts[0][-1], (39.9042, 116.4074)))
     assert min(ends) >= 499 and max(ends) - min(ends) > 20
