@@ -3,7 +3,10 @@ import json
 import random
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
+from waymark.operators import incremental
 from waymark.sources import json_split, timeline
 from waymark.streaming import pings as stream
 
@@ -34,6 +37,60 @@ def test_streams(spark, folder):
     assert len([d for d in days if d["user_id"] == 1]) == 4 and len([d for d in days if d["user_id"] == 2]) == 3
 
 
+def ping_rows(seed):
+    rnd, rows = random.Random(seed), []
+    for user in range(3):
+        t = T
+        for _ in range(300):
+            t += datetime.timedelta(minutes=rnd.choice([5, 20, 300, 1500]))
+            rows.append((user, t, 35.0 + rnd.choice([0, 0, 0, 1]) * rnd.random(), 139.0, 1.0))
+    return sorted(rows, key=lambda r: r[1])
+
+
+def spans_of(pings):
+    """Derived rows that may go over days: runs of pings without six hours' gap."""
+    w = Window.partitionBy("user_id").orderBy("ts")
+    new = F.coalesce((F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lag("ts").over(w).cast("timestamp")) > 6 * 3600).cast("int"), F.lit(0))
+    return pings.withColumn("run", F.sum(new).over(w)).groupBy("user_id", "run").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("pings")).drop("run")
+
+
+@pytest.mark.parametrize("n", [1, 7])
+def test_kept_tables_are_the_same_in_any_number_of_batches(spark, tmp_path, n):
+    """Batches come by time, each with some stragglers of the one before, over a restart each."""
+    rows = ping_rows(1)
+    batch = [min(n - 1, i * n // len(rows) + (i % 9 == 0)) for i in range(len(rows))]
+    for b in range(n):
+        spark.createDataFrame([r for r, of in zip(rows, batch) if of == b], KIND).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(KIND).parquet(str(tmp_path / "in"))
+        stream.incremental(source, spans_of, str(tmp_path / "kept"), late_days=400).awaitTermination()
+    got = incremental.read_kept(spark, str(tmp_path / "kept/derived"), ["user_id", "start", "end", "pings"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, spans_of(spark.createDataFrame(rows, KIND)).select("user_id", "start", "end", "pings").collect()))
+    assert spark.read.parquet(str(tmp_path / "kept/late")).count() == 0
+
+
+def test_late_pings_open_no_day(spark, tmp_path):
+    rows = ping_rows(2)
+    for part in ([r for i, r in enumerate(rows) if i > 5], rows[:6]):
+        spark.createDataFrame(part, KIND).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream.incremental(spark.readStream.schema(KIND).parquet(str(tmp_path / "in")), spans_of, str(tmp_path / "kept"), late_days=3).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "kept/late")).count() == 6
+    assert spark.read.parquet(str(tmp_path / "kept/pings")).count() == len(rows) - 6
+
+
+def test_rows_and_windows_meet_by_length(spark):
+    rnd = random.Random(3)
+    day = lambda n: T + datetime.timedelta(days=n, minutes=rnd.randint(-900, 900))
+    rows = [(u, i, *sorted((day(a := rnd.randint(0, 400)), day(a + rnd.choice([0, 0, 1, 2, 5, 40, 300]))))) for u in range(3) for i in range(150)]
+    whole = lambda n: datetime.datetime(2024, 3, 1) + datetime.timedelta(days=n)
+    spans = [(u, whole(a), whole(a + rnd.choice([1, 2, 30]))) for u in range(2) for a in range(0, 400, 67)]
+    r = spark.createDataFrame(rows, "user_id long, i long, start timestamp_ntz, end timestamp_ntz")
+    s = spark.createDataFrame(spans, "user_id long, from_ timestamp_ntz, to_ timestamp_ntz")
+    for end in ("end", "start"):
+        want = {(u, i) for u, i, a, b in rows for v, x, y in spans if u == v and a < y and (b if end == "end" else a) >= x}
+        assert {(g["user_id"], g["i"]) for g in incremental._overlapping(r, s, "start", end, "left_semi").collect()} == want
+        assert {(g["user_id"], g["i"]) for g in incremental._overlapping(r, s, "start", end, "left_anti").collect()} == {x[:2] for x in rows} - want
+
+
 def test_timeline_records(spark, tmp_path):
     records = [
         {"startTime": "2024-03-01T10:00:00+09:00", "endTime": "2024-03-01T11:00:00+09:00", "visit": {"hierarchyLevel": 0, "topCandidate": {"semanticType": "Home", "placeLocation": {"latLng": "35.1°, 139.2°"}}}},

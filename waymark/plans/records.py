@@ -8,7 +8,7 @@ from waymark.operators import incremental
 from waymark.operators.graph import new_path
 from waymark.plans.days import _derive
 from waymark.plans.fixtures import PINGS, PLAN, PLAN_PHOTOS, PLAN_PLACES, PLAN_TRACKS, PLAN_TRIPS, pick, pings, plan_photos, plan_places, plan_tracks, plan_trips, table
-from waymark.plans.queries import P, query, r6
+from waymark.plans.queries import _SCAN, P, query, r6
 from waymark.sources import files, legacy, timeline, tracks
 from waymark.streaming import pings as stream
 
@@ -234,35 +234,53 @@ def k1(spark, sf):
 
 
 def _incremental(spark, sf):
-    """Hours of pings after a batch has gone through the stream of changes, and its late pings."""
+    """The folder that the stream of changes keeps, after pings have come in three batches, a restart between them: old ones, newer ones, and what both have left out."""
     p = pings(spark, sf).select("user_id", "event_id", "k", "ts", "lat", "lon", "accuracy_m")
-    out, late = new_path(spark, "hours"), new_path(spark, "late")
+    split = F.lit(p.agg(F.max("ts") - F.expr("interval 20 days")).first()[0]).cast("timestamp_ntz")
+    part = F.when(F.col("ts") < split, F.when(F.col("event_id") % 13 == 0, 2).otherwise(0)).otherwise(F.when(F.col("event_id") % 5 == 0, 2).otherwise(1))
+    source, folder = new_path(spark, "arriving"), new_path(spark, "kept")
+    arriving = p.withColumn("part", part)
+    derive = lambda rows: _derive(rows)["hours"]
+    for i in range(3):
+        arriving.where(F.col("part") == i).drop("part").write.mode("append").parquet(source)
+        stream.incremental(spark.readStream.schema(p.schema).parquet(source), derive, folder, late_days=10).awaitTermination()
+    return folder
 
-    def recompute(good, days):
-        made = incremental.rederive(good, {"hours": _derive(good.limit(0))["hours"]}, good.select("user_id", "ts"), _derive)["hours"]
-        made.write.mode("overwrite").parquet(out)
-
-    q = stream.incremental(_ping_stream(spark, sf).dropDuplicates(["user_id", "event_id", "k"]), recompute, new_path(spark, "incremental-state"), late, late_days=10)
-    q.awaitTermination()
-    return spark.read.parquet(out), spark.read.parquet(late).drop("batch"), p
 
+_ARRIVED = f"""a AS (SELECT *, CASE WHEN ts < (SELECT max(ts) FROM pings) - INTERVAL 20 DAY THEN CASE WHEN event_id % 13 = 0 THEN 2 ELSE 0 END WHEN event_id % 5 = 0 THEN 2 ELSE 1 END AS part FROM pings),
+arrived AS (SELECT *, part = 2 AND ts < (SELECT max(ts) FROM a WHERE part < 2) - INTERVAL 10 DAY AS late FROM a)"""
 
-_NEW = "(SELECT max(ts) FROM pings) - INTERVAL 10 DAY"
 
-
-@query("K2_incremental_days", f"WITH {PINGS} SELECT user_id, date_trunc('hour', ts) AS start, max(ts) AS \"end\", count(*) AS pings FROM pings WHERE ts >= {_NEW} GROUP BY ALL")
+@query("K2_incremental_days", f"WITH {PINGS}, {_ARRIVED} SELECT user_id, date_trunc('hour', ts) AS start, max(ts) AS \"end\", count(*) AS pings FROM arrived WHERE NOT late GROUP BY ALL")
 def k2(spark, sf):
-    return _incremental(spark, sf)[0].select("user_id", "start", "end", "pings")
+    return incremental.read_kept(spark, f"{_incremental(spark, sf)}/derived", ["user_id", "start", "end", "pings"])
 
 
-@query("K6_late_pings", f"WITH {PINGS} SELECT user_id, event_id, k FROM pings WHERE ts < {_NEW}")
+@query("K6_late_pings", f"WITH {PINGS}, {_ARRIVED} SELECT user_id, event_id, k FROM arrived WHERE late")
 def k6(spark, sf):
-    return _incremental(spark, sf)[1].select("user_id", "event_id", "k")
+    return spark.read.parquet(f"{_incremental(spark, sf)}/late").select("user_id", "event_id", "k")
 
 
-@query("K3_online_stays")
+@query("K3_online_stays", f"WITH RECURSIVE {PINGS}, {_SCAN} SELECT user_id, start, \"end\", point_count FROM found")
 def k3(spark, sf):
-    """Stays that are over, as the stream tells them; a batch run of D1 has the last one of each user too."""
-    got = _run(spark, stream.online_stays(_ping_stream(spark, sf).where("accuracy_m is null or accuracy_m <= 500"), P), "online")
+    """Stays of pings that come in three batches by time, then a ping of each user years later, which ends what is open."""
+    p = pings(spark, sf).where("accuracy_m is null or accuracy_m <= 500").select("user_id", "ts", "lat", "lon")
+    first, last = p.agg(F.min("ts"), F.max("ts")).first()
+    third = (last - first) / 3
+    at = lambda t: F.lit(t).cast("timestamp_ntz")
+    parts = [p.where((F.col("ts") >= at(first + i * third)) & (F.col("ts") < at(first + (i + 1) * third) if i < 2 else F.lit(True))) for i in range(3)]
+    parts.append(p.select("user_id").distinct().select("user_id", at(last.replace(year=last.year + 9, day=1)).alias("ts"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon")))
+    source, out, state = (new_path(spark, name) for name in ("pings", "online", "online-state"))
+    before = {k: spark.conf.get(k) for k in stream.ROCKSDB}
+    try:
+        for k, v in stream.ROCKSDB.items():
+            spark.conf.set(k, v)
+        for part in parts:
+            part.write.mode("append").parquet(source)
+            stays = stream.online_stays(spark.readStream.schema(p.schema).parquet(source), P)
+            stays.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = spark.read.schema(stream.STAYS).parquet(out)
     return got.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "point_count")
-

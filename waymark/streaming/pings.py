@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from waymark.functions.geo import haversine_m, point_dedup_key
 from waymark.operators.stays import scan
@@ -45,23 +45,40 @@ def each_affected_day(pings: DataFrame, recompute: Callable[[DataFrame], None],
     return pings.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def incremental(pings: DataFrame, recompute: Callable[[DataFrame, DataFrame], None], checkpoint: str, late_path: str, late_days: int = 2):
-    """Start a query that gives ``recompute`` each batch's pings in time and the (user_id, day) they touch, a day to either side.
+def incremental(pings: DataFrame, derive: Callable[[DataFrame], DataFrame], folder: str, late_days: int = 2):
+    """Start a query that keeps a derived table (user_id, start, end) up to date, batch by batch; ``derive`` makes it of pings.
 
-    A ping more than ``late_days`` behind the newest one of its batch is late: it goes to the
-    table at ``late_path`` and opens no day again. A batch that is run a second time
-    replaces what it wrote.
+    Under ``folder`` stand pings (in time, by batch), late (the others, by batch), derived (see
+    ``incremental.keep``), progress (the newest event time after each batch) and the query's checkpoint. A ping is
+    late if it is more than ``late_days`` behind the newest one of all earlier batches; it opens no day
+    again. A batch that is run once more writes the same again, as it sees earlier batches only.
     """
+    from waymark.operators.incremental import keep
 
-    def one(batch: DataFrame, number: int) -> None:
-        newest = batch.agg(F.max("ts")).first()[0]
-        old = F.coalesce(F.col("ts") < F.lit(newest) - F.make_dt_interval(days=F.lit(late_days)), F.lit(False))
-        batch.where(old).write.mode("overwrite").parquet(f"{late_path.rstrip('/')}/batch={number}")
-        good = batch.where(~old)
-        day = F.to_date("ts")
-        recompute(good, good.select("user_id", F.explode(F.sequence(F.date_sub(day, 1), F.date_add(day, 1))).alias("day")).distinct())
+    at = {name: f"{folder.rstrip('/')}/{name}" for name in ("pings", "late", "derived", "progress", "checkpoint")}
 
-    return pings.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def one(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        try:
+            newest = None
+            if number:
+                newest = spark.read.parquet(at["progress"]).where(F.col("batch") < number).agg(F.max("newest")).first()[0]
+            old = F.coalesce(F.col("ts") < F.lit(newest).cast("timestamp_ntz") - F.make_dt_interval(days=F.lit(late_days)), F.lit(False))
+            batch.where(old).write.mode("overwrite").parquet(f"{at['late']}/batch={number}")
+            batch.where(~old).write.mode("overwrite").parquet(f"{at['pings']}/batch={number}")
+            after = batch.agg(F.max("ts").alias("newest")).select(F.greatest("newest", F.lit(newest).cast("timestamp_ntz")).alias("newest"))
+            after.coalesce(1).write.mode("overwrite").parquet(f"{at['progress']}/batch={number}")
+        finally:
+            batch.unpersist()
+        good = spark.read.schema(batch.schema).parquet(f"{at['pings']}/batch={number}")
+        points = spark.read.schema(batch.schema).option("basePath", at["pings"]).parquet(at["pings"])
+        if good.take(1):
+            done = spark._jvm.org.apache.hadoop.fs.Path(at["derived"])
+            first = not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+            keep(spark, at["derived"], good.select("user_id", "ts"), points, derive, derive(points.limit(0)), first)
+
+    return pings.writeStream.foreachBatch(one).option("checkpointLocation", at["checkpoint"]).trigger(availableNow=True).start()
 
 
 def fence_alerts(pings: DataFrame, fences: DataFrame) -> DataFrame:
@@ -76,39 +93,75 @@ def sliding_activity(pings: DataFrame, width: str = "1 day", step: str = "6 hour
     return timed.groupBy("user_id", F.window("event_time", width, step)).agg(F.count("*").alias("pings"))
 
 
-_OPEN = "ts array<long>, lat array<double>, lon array<double>"
-_STAY = "user_id long, start timestamp, end timestamp, lat double, lon double, radius_m double, point_count int, inferred_s double"
+STAYS = "user_id long, start timestamp, end timestamp, lat double, lon double, radius_m double, point_count int, inferred_s double"
 
 
-def online_stays(pings: DataFrame, p: Params, late: str = "2 hours") -> DataFrame:
-    """Stays as they end: each user's open pings are the state, and what a later ping settles leaves it.
+class _OpenStays(StatefulProcessor):
+    """A user's pings that no stay has settled, in order; a timer settles them when the user has been silent for too long."""
 
-    A stay ends when its user has moved on, or has been silent, by event time, for
-    longer than the longest stay that may be inferred. Pings that come later than
-    ``late`` are dropped by the watermark; those in time are put in order within their
-    batch, and one before what is settled already is too late as well.
-    """
+    def __init__(self, p: Params):
+        self.p = p
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [np.array(x) for x in state.get] if state.exists else [np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
-        if not state.hasTimedOut:
-            for part in parts:
-                new = [part["event_time"].astype("int64").to_numpy() // (1 if part["event_time"].dtype == "datetime64[us]" else 1000), part["lat"].to_numpy(), part["lon"].to_numpy()]
-                held = [np.concatenate([a, b]) for a, b in zip(held, new)]
-            order = np.argsort(held[0], kind="stable")
-            held = [x[order] for x in held]
-        stays, upto = scan(held[0], held[1], held[2], p, final=state.hasTimedOut)
-        made = [(key[0], held[0][a], held[0][b], lat, lon, r, b - a + 1, inf) for a, b, lat, lon, r, inf in stays]
-        held = [x[upto:] for x in held]
-        if len(held[0]) and not state.hasTimedOut:
-            state.update(tuple(x.tolist() for x in held))
-            state.setTimeoutTimestamp(max(int(held[0][-1]) // 1000 + p.longest_inferred_s * 1000, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        out = pd.DataFrame(made, columns=[c.split()[0] for c in _STAY.split(", ")])
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "us long, lat double, lon double")
+
+    def _scanned(self, user: int, held: list[np.ndarray], final: bool) -> tuple[pd.DataFrame, int]:
+        found, upto = scan(*held, self.p, final)
+        made = [(user, held[0][a], held[0][b], lat, lon, r, b - a + 1, inferred) for a, b, lat, lon, r, inferred in found]
+        out = pd.DataFrame(made, columns=[c.split()[0] for c in STAYS.split(", ")])
         for c in ("start", "end"):
             out[c] = pd.to_datetime(out[c].astype("int64"), unit="us")
+        return out, upto
+
+    def _held(self) -> list[np.ndarray]:
+        rows = list(self.open.get()) if self.open.exists() else []
+        return [np.array([r[i] for r in rows], kind) for i, kind in enumerate((np.int64, float, float))]
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = self._held()
+        known = len(held[0])
+        for part in rows:
+            us = part["event_time"].astype("datetime64[us]").astype("int64").to_numpy()
+            held = [np.concatenate([a, b]) for a, b in zip(held, (us, part["lat"].to_numpy(), part["lon"].to_numpy()))]
+        order = np.argsort(held[0], kind="stable")
+        in_order = bool((order[:known] == np.arange(known)).all())
+        held = [x[order] for x in held]
+        out, upto = self._scanned(key[0], held, False)
+        rest = list(zip(*(x[upto:].tolist() for x in held)))
+        if upto == 0 and in_order and known:
+            self.open.appendList(list(zip(*(x[known:].tolist() for x in held))))  # what is open only grows
+        elif rest:
+            self.open.put(rest)
+        elif self.open.exists():
+            self.open.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if rest:
+            self.handle.registerTimer(max(rest[-1][0] // 1000 + self.p.longest_inferred_s * 1000, timerValues.getCurrentWatermarkInMs() + 1))
+        yield out
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out, _ = self._scanned(key[0], self._held(), True)
+        self.open.clear()
         yield out
 
+    def close(self) -> None:
+        pass
+
+
+def online_stays(pings: DataFrame, p: Params, late: str = "2 hours") -> DataFrame:
+    """Stays as they end: each user's open pings are a list in the state, and what a later ping settles leaves it.
+
+    A stay ends when its user has moved on, or when by event time the user has been silent for
+    longer than the longest stay that may be inferred, for which a timer stands. Pings that come later than
+    ``late`` are dropped by the watermark; those in time are put in order with what is
+    open, and one before what is settled already stands before the open ones. The state store must be RocksDB's.
+    """
     timed = pings.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", late)
-    return timed.select("user_id", "event_time", "lat", "lon").groupBy("user_id").applyInPandasWithState(step, _STAY, _OPEN, "append", "EventTimeTimeout")
+    rows = timed.select("user_id", "event_time", "lat", "lon").groupBy("user_id")
+    return rows.transformWithStateInPandas(_OpenStays(p), STAYS, "Append", "eventTime")
+
+
+#: What ``online_stays`` needs of a session.
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
