@@ -6,7 +6,7 @@ they have in the text; so it agrees with a probability that falls with edits. Te
 few shingles have the least of these as keys besides, by which none is missed.
 Documents with the same words are one node, and nodes that share a key are a
 bucket. All members of a small bucket are compared with each other. Those of a
-larger one are compared with one of them only, its centre, the member nearest to what most
+larger one are compared with one of them only, its centre, a member near to what most
 of them have in common. What others may share with each other is then looked for in
 how they differ from that: the shingles that a member has and most haven't, or
 that it lacks and most have, rarest first, are the keys by which a bucket is split for the next
@@ -17,16 +17,17 @@ bucket, and most are by a few, so buckets end after a few rounds.
 A link needs shared five-word shingles of SIMILARITY (Jaccard) or more, and an
 alignment of the words within the band of 1 - SIMILARITY with as few edits.
 
-Splitting is a prefix filter. Of two texts that make a link, neither has more than a fifth of its
-shingles that the other lacks. And two that aren't known to be linked, of which one isn't linked to the
-centre, share half of what tells either from what is common, but for half of what tells the
-centre from it: else they would differ by more than texts do that make a link. So
-a member meets its partners by the rarest of its shingles that most haven't, a fifth of all that it has and
-one more, those first that no other has; or by the rarest half of what tells it.
-Differences are counted in the SAMPLE least shingles by hash, with two (for a fifth) or one (for a
-half) standard deviation allowed for; texts of no more than SAMPLE shingles are counted whole.
-What is lost is what lies beyond these; and texts that have the same shingles in
-another order, which the alignment parts, only count as linked to the centre here.
+Splitting is an exact prefix filter. Let D(b) be the shingles in which a member b and what
+is common (of the shingles those that more than half of the bucket's members have) differ, and
+k = (1 - SIMILARITY) / (1 + SIMILARITY). Two texts have that similarity exactly if they differ in
+k times their sizes' sum at most. The centre is the member c with the least |D(c)| - k |c|. So
+if b and d are similar and d isn't to the centre, D(b) and D(d) have more than
+(|D(b)| - k |b| - |D(c)| + k |c|) / 2 shingles in common, which is 0 at the least; and
+|D(b)| less a quarter of |b| at the least whatever the centre. A prefix of D(b), those first that
+no member of another component has, then the rarest, that leaves out fewer than b must share
+meets that of every partner that is still to be found. All shingles count, whatever a text's length.
+Not covered are texts with the same shingles in another order, which the
+alignment parts: they only count as compared with the centre here.
 """
 
 from __future__ import annotations
@@ -37,15 +38,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm.common import Words, in_bitmap, key_bitmap, mix, powers, scratch, stage, table, text_chunks
 
 K, SIMILARITY = 5, 0.8
 SKETCHES, LEAST = 20, 4
-#: Shingles of a text by which its bucket is split; members of a bucket that are all compared with each other.
-SAMPLE, SMALL = 192, 8
+#: Members of a bucket that are all compared with each other.
+SMALL = 8
 #: Texts of so few distinct shingles meet all that they may be linked with: the least of their shingles are keys too.
 SHORT = 20
 
@@ -223,8 +224,8 @@ def compared(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def sampled(texts: DataFrame) -> DataFrame:
-    """node, groups, xs, upto of texts (node, groups, text): the SAMPLE least shingles, sorted, and the least value that isn't known to be absent (none: all are known)."""
+def shingled(texts: DataFrame) -> DataFrame:
+    """node, groups, xs of texts (node, groups, text): the distinct shingles, sorted."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -232,14 +233,10 @@ def sampled(texts: DataFrame) -> DataFrame:
                 words = Words(batch.column(2).slice(a, b - a))
                 at, grams = words.grams(K, words.doc_of())
                 first = np.searchsorted(at, words.first)
-                xs, upto = [], []
-                for i in range(b - a):
-                    own = np.unique(mix(grams[first[i] : first[i + 1]]).view(np.int64))
-                    xs.append(own[:SAMPLE])
-                    upto.append(int(own[SAMPLE]) if len(own) > SAMPLE else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(xs, pa.list_(pa.int64())), pa.array(upto, pa.int64())], ["node", "groups", "xs", "upto"])
+                xs = [np.unique(mix(grams[first[i] : first[i + 1]]).view(np.int64)) for i in range(b - a)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(xs, pa.list_(pa.int64()))], ["node", "groups", "xs"])
 
-    return texts.select("node", "groups", "text").mapInArrow(run, "node long, groups array<long>, xs array<long>, upto long")
+    return texts.select("node", "groups", "text").mapInArrow(run, "node long, groups array<long>, xs array<long>")
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -297,54 +294,42 @@ def _grouped(many: DataFrame, first: bool) -> DataFrame:
 
 
 def _members(spark: SparkSession, members: DataFrame, texts: DataFrame) -> DataFrame:
-    """group, node, size (of the group), xs, upto, common of members (group, node): ``common`` are the shingles (x) that more than half have, and how many haven't (n)."""
+    """group, node, m (shingles), own and lacks of members (group, node): the shingles that a member has and most haven't, and those that it lacks and most have."""
     wanted = members.groupBy("node").agg(F.collect_list("group").alias("groups"))
-    parsed = sampled(texts.join(wanted, "node")).select(F.explode("groups").alias("group"), "node", "xs", "upto")
+    parsed = shingled(texts.join(wanted, "node")).select(F.explode("groups").alias("group"), "node", "xs")
     size = members.groupBy("group").agg(F.count("*").alias("size"))
-    parsed = stage(spark, parsed.join(size, "group"), "parsed")
-    n = parsed.select("group", "size", F.explode("xs").alias("x")).groupBy("group", "x").agg(F.count("*").alias("n"), F.first("size").alias("size")).where("n * 2 > size")
-    # Each member has SAMPLE at most, so they are 2 * SAMPLE at most.
-    common = n.groupBy("group").agg(F.collect_list(F.struct("x", (F.col("size") - F.col("n")).alias("n"))).alias("common"))
-    none = F.array().cast("array<struct<x: long, n: long>>")
-    return stage(spark, parsed.join(common, "group", "left").withColumn("common", F.coalesce("common", none)), "members")
-
-
-def _lacks() -> Column:
-    """What a member of ``_members`` lacks of its group's common shingles, as far as its sample tells."""
-    return F.filter("common", lambda c: (F.col("upto").isNull() | (c["x"] < F.col("upto"))) & ~F.array_contains("xs", c["x"]))
-
-
-def _own() -> Column:
-    return F.array_except("xs", F.transform("common", lambda c: c["x"]))
+    parsed = stage(spark, parsed, "parsed")
+    n = parsed.repartition("group", "node").select("group", F.explode("xs").alias("x")).groupBy("group", "x").agg(F.count("*").alias("n"))
+    # They are twice as many as a member has on average at most.
+    common = n.join(size, "group").where("n * 2 > size").groupBy("group").agg(F.collect_list("x").alias("common"))
+    both = parsed.join(common, "group", "left").withColumn("common", F.coalesce("common", F.array().cast("array<long>")))
+    return stage(spark, both.select("group", "node", F.size("xs").alias("m"), F.array_except("xs", "common").alias("own"), F.array_except("common", "xs").alias("lacks")), "members")
 
 
 def _keys(members: DataFrame, centres: DataFrame, comp: DataFrame, similarity: float) -> DataFrame:
-    """node, bucket: the keys of the members (but the centre) of groups in which not all are known to be linked, by where they differ from what is common.
+    """node, bucket: the keys of the members (but the centre) of groups in which not all are known to be linked: prefixes of their differences from what is common.
 
     A difference that only members share which are known to be linked is of no
     use, and no partner that is still to be found has it.
     """
-    m = members.join(centres, "group").where("node != a").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    known = centres.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("comp_a")), "a", "left").withColumn("comp_a", F.coalesce("comp_a", "a"))
+    m = members.join(known, "group").where("node != a").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     open_ = m.groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("group")
     # Dealt out by member: a large group is in no one task.
     m = m.join(open_, "group").repartition("group", "node")
-    each = m.select("group", "node", "comp", F.explode_outer(_own()).alias("x"))
-    of = Window.partitionBy("group", "x")
-    each = each.withColumns({"n": F.count("*").over(of), "mixed": F.min("comp").over(of) < F.max("comp").over(of)})
-    own = each.groupBy("group", "node").agg(F.collect_list(F.when(F.col("mixed") & F.col("x").isNotNull(), F.struct("n", "x", F.lit(0).alias("side")))).alias("shared"), F.count_if(~F.col("mixed") & F.col("x").isNotNull()).alias("alone"))
-    lacks = F.transform(_lacks(), lambda c: F.struct(c["n"].alias("n"), c["x"].alias("x"), F.lit(1).alias("side")))
-    m = m.select("group", "node", "x_a", "m_a", F.size("xs").alias("m"), "upto", lacks.alias("lacks")).join(own, ["group", "node"])
-    noise = lambda sd, x: F.when(F.col("upto").isNull(), 0.0).otherwise(sd * F.sqrt(x))
-    # A text has so many shingles at most that one it makes a link with lacks.
-    fifth = (1 - similarity) * F.col("m") + noise(2, similarity * (1 - similarity) * F.col("m"))
-    differs = F.col("alone") + F.size("shared") + F.size("lacks")
-    # Half of what tells a member from the common, and half of what tells the centre from it.
-    half = (differs + F.col("x_a") + F.greatest(F.lit(0.0), (F.col("m") - F.col("m_a")) * ((1 - similarity) / (1 + similarity)))) / 2 + noise(1, differs)
-    by_own = F.col("alone") + F.size("shared") > fifth
-    lone = F.when(by_own, 0).otherwise(F.size(F.filter("lacks", lambda d: d["n"] < 2)))
-    left = F.floor(F.when(by_own, F.least(fifth, half)).otherwise(half)) + 1 - F.col("alone") - lone
-    some = F.when(by_own, F.col("shared")).otherwise(F.concat("shared", F.filter("lacks", lambda d: d["n"] >= 2)))
-    rarest = F.slice(F.sort_array(some), F.lit(1), F.greatest(F.lit(0), left).cast("int"))
+    differs = F.concat(F.transform("own", lambda x: F.struct(x.alias("x"), F.lit(0).alias("side"))), F.transform("lacks", lambda x: F.struct(x.alias("x"), F.lit(1).alias("side"))))
+    each = m.select("group", "node", "comp", F.explode(differs).alias("d")).select("group", "node", "comp", "d.x", "d.side")
+    mixed = each.groupBy("group", "x", "side").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").drop("low", "high")
+    shared = each.drop("comp").join(mixed, ["group", "x", "side"]).groupBy("group", "node").agg(F.collect_list(F.struct("n", "x", "side")).alias("shared"))
+    m = m.select("group", "node", "m", "comp", "comp_a", "x_a", "m_a", (F.size("own") + F.size("lacks")).alias("d")).join(shared, ["group", "node"])
+    k = (1 - similarity) / (1 + similarity)
+    least = F.greatest(F.lit(1), F.col("d") - F.floor((1 - similarity) / similarity * F.col("m") + 1e-9))
+    # A partner of one that is linked with the centre isn't linked with it.
+    far = F.floor((F.col("d") - F.col("x_a") - k * (F.col("m") - F.col("m_a"))) / 2 - 1e-9) + 1
+    least = F.when(F.col("comp") == F.col("comp_a"), F.greatest(least, far)).otherwise(least)
+    # What no other component has comes first in every prefix.
+    left = F.col("d") - least + 1 - (F.col("d") - F.size("shared"))
+    rarest = F.slice(F.sort_array("shared"), F.lit(1), F.greatest(F.lit(0), left).cast("int"))
     return m.select("node", F.explode(F.transform(rarest, lambda k: F.xxhash64("group", k["x"], k["side"]))).alias("bucket"))
 
 
@@ -387,9 +372,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", s
         members = None
         if many.take(1):
             members = _members(spark, _grouped(many, first), texts)
-            near = -F.size(_own()) - F.size(_lacks())
-            best = F.max(F.struct(near.alias("near"), F.xxhash64("node").alias("tie"), F.col("node").alias("a"), F.size("xs").alias("m_a"))).alias("c")
-            centres = stage(spark, members.groupBy("group").agg(best).select("group", "c.a", (-F.col("c.near")).alias("x_a"), "c.m_a"), "centres")
+            differs = F.size("own") + F.size("lacks")
+            best = F.min(F.struct((differs - (1 - similarity) / (1 + similarity) * F.col("m")).alias("far"), F.xxhash64("node").alias("tie"), F.col("node").alias("a"), differs.alias("x_a"), F.col("m").alias("m_a"))).alias("c")
+            centres = stage(spark, members.groupBy("group").agg(best).select("group", "c.a", "c.x_a", "c.m_a"), "centres")
             compare = members.select("group", F.col("node").alias("b")).join(centres, "group").where("a != b").select("a", "b")
             pairs = pairs.union(_unlinked(compare, comp))
         pairs = pairs.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct()
