@@ -298,10 +298,10 @@ def _members(spark: SparkSession, members: DataFrame, texts: DataFrame) -> DataF
     wanted = members.groupBy("node").agg(F.collect_list("group").alias("groups"))
     parsed = shingled(texts.join(wanted, "node")).select(F.explode("groups").alias("group"), "node", "xs")
     size = members.groupBy("group").agg(F.count("*").alias("size"))
-    parsed = stage(spark, parsed, "parsed")
-    n = parsed.repartition("group", "node").select("group", F.explode("xs").alias("x")).groupBy("group", "x").agg(F.count("*").alias("n"))
-    # They are twice as many as a member has on average at most.
-    common = n.join(size, "group").where("n * 2 > size").groupBy("group").agg(F.collect_list("x").alias("common"))
+    parsed = stage(spark, parsed.join(size, "group"), "parsed")
+    n = parsed.repartition("group", "node").select("group", "size", F.explode("xs").alias("x")).groupBy("group", "x").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    # They are twice as many as a member has on average at most; a group's other shingles don't meet.
+    common = n.where("n * 2 > size").groupBy("group").agg(F.collect_list("x").alias("common"))
     both = parsed.join(common, "group", "left").withColumn("common", F.coalesce("common", F.array().cast("array<long>")))
     return stage(spark, both.select("group", "node", F.size("xs").alias("m"), F.array_except("xs", "common").alias("own"), F.array_except("common", "xs").alias("lacks")), "members")
 
