@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo, text
 from waymark.functions import time as times
-from waymark.operators import anchors, commute, fusion, intervals, points, privacy, stays, tiles
+from waymark.operators import anchors, commute, fusion, intervals, points, privacy, ranks, stays, tiles
 from waymark.params import Params
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -498,3 +498,17 @@ def test_geohash_at_every_precision(spark):
             i, j = max(0, math.ceil((r["lon"] + 180) / 360 * (1 << (5 * n + 1) // 2)) - 1), max(0, math.ceil((r["lat"] + 90) / 180 * (1 << 5 * n // 2)) - 1)
             bits = [(i >> ((5 * n + 1) // 2 - 1 - k // 2) if k % 2 == 0 else j >> (5 * n // 2 - 1 - k // 2)) & 1 for k in range(5 * n)]
             assert r[f"g{n}"] == "".join(geo.GEOHASH_ALPHABET[int("".join(map(str, bits[5 * p : 5 * p + 5])), 2)] for p in range(n))
+
+
+def test_values_at_ranks_of_groups_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "ACCURACY", 100)
+    rnd, groups = random.Random(9), {}
+    for key, n in (("a", 1), ("b", 2), ("c", 99), ("d", 3000), (None, 2501), ("e", 0)):
+        groups[key] = [rnd.choice([rnd.gauss(0, 100), 5.0, float(rnd.randrange(4))]) for _ in range(n)]
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("a", None), ("e", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    wanted = {"low": ranks.nearest(0.0), "p95": ranks.nearest(0.95), "top": ranks.nearest(1.0), "mid": ranks.UPPER_MEDIAN}
+    got = {r["k"]: tuple(r)[1:] for r in ranks.at_ranks(df, ["k"], "v", wanted).collect()}
+    for k, vs in groups.items():
+        s = sorted(vs)
+        assert got[k] == ((s[0], s[round(0.95 * (len(s) - 1))], s[-1], s[len(s) // 2]) if s else (None,) * 4)

@@ -35,10 +35,10 @@ def b22(spark, sf):
     return organise.filter_trips(plan_trips(spark, sf), plan_places(spark, sf), _tags(spark, sf), from_=_day("2024-01-05"), to=_day("2024-02-01"), group=1, tag=2, country="", q="01", limit=500).select("trip_id", "local_date", "title")
 
 
-@query("B22_filter_places", f"""WITH {PLAN_PLACES}, {PLAN_TRIPS}, {_GROUPED} SELECT place_id, start FROM grouped WHERE eff = 2 AND "end" >= TIMESTAMP '2024-01-03 00:00:00' AND start <= TIMESTAMP '2024-01-09 00:00:00' AND contains(lower(coalesce(geo_city, '')), 'an') AND lat BETWEEN 35 AND 42 AND lon BETWEEN -180 AND 180 ORDER BY start, place_id LIMIT 1000""")
+@query("B22_filter_places", f"""WITH {PLAN_PLACES}, {PLAN_TRIPS}, {_GROUPED} SELECT place_id, start FROM grouped WHERE eff = 2 AND "end" >= TIMESTAMP '2024-01-03 00:00:00' AND start <= TIMESTAMP '2024-01-09 00:00:00' AND contains(lower(coalesce(geo_city, '')), 'n_1') AND lat BETWEEN 35 AND 42 AND lon BETWEEN -180 AND 180 ORDER BY start, place_id LIMIT 1000""")
 def b22_places(spark, sf):
     at = lambda s: F.lit(s).cast("timestamp_ntz")
-    return organise.filter_places(_grouped(spark, sf), plan_trips(spark, sf), group=2, from_=at("2024-01-03 00:00:00"), to=at("2024-01-09 00:00:00"), q="AN", bbox=(-180, 35, 180, 42), limit=1000).select("place_id", "start")
+    return organise.filter_places(_grouped(spark, sf), plan_trips(spark, sf), group=2, from_=at("2024-01-03 00:00:00"), to=at("2024-01-09 00:00:00"), q="N_1", bbox=(-180, 35, 180, 42), limit=1000).select("place_id", "start")
 
 
 @query("B22_filter_tracks", f"""WITH {PLAN}, {PLAN_TRACKS} SELECT track_id FROM plan_tracks WHERE mode = 'bike' AND mode_source = 'google' AND "end" >= TIMESTAMP '2024-01-10 00:00:00'""")
@@ -80,9 +80,9 @@ def c18(spark, sf):
     return organise.distinct_key_trip(plan_places(spark, sf), "geo_country")
 
 
-@query("C9_filters", f"WITH {PLAN_PLACES}, {PLAN_TRIPS}, {_TAGS} SELECT trip_id FROM plan_trips WHERE trip_id IN (SELECT trip_id FROM trip_tags WHERE tag_id = 1) AND trip_id IN (SELECT trip_id FROM plan_places WHERE geo_city = 'JAPAN')")
+@query("C9_filters", f"WITH {PLAN_PLACES}, {PLAN_TRIPS}, {_TAGS} SELECT trip_id FROM plan_trips WHERE trip_id IN (SELECT trip_id FROM trip_tags WHERE tag_id = 1) AND trip_id IN (SELECT trip_id FROM plan_places WHERE geo_city = 'NATION_12')")
 def c9_filters(spark, sf):
-    return organise.filter_trips(plan_trips(spark, sf), plan_places(spark, sf), _tags(spark, sf), tag=1, city="JAPAN").select("trip_id")
+    return organise.filter_trips(plan_trips(spark, sf), plan_places(spark, sf), _tags(spark, sf), tag=1, city="NATION_12").select("trip_id")
 
 
 _STATS = """tm AS (SELECT trip_id, sum(distance_m) AS total, count(*) FILTER (WHERE distance_m IS NULL) AS unknown, count(*) AS tracks FROM plan_tracks GROUP BY trip_id),

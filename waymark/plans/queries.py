@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from waymark.functions import aggregates as agg
 from waymark.functions import geo, text
 from waymark.functions import time as times
-from waymark.operators import intervals, points, stays
+from waymark.operators import intervals, points, ranks, stays
 from waymark.operators.graph import written
 from waymark.params import Params
 from waymark.plans.fixtures import PHOTOS, PINGS, VISITS, hav, photos, pings, table, visits
@@ -362,7 +362,14 @@ def e1(spark, sf):
 @query("E3_E4_percentiles", """WITH v AS (SELECT o_custkey, list_sort(list(o_totalprice)) AS v FROM orders GROUP BY o_custkey)
 SELECT o_custkey, v[(round_even(0.95 * (len(v) - 1), 0))::INT + 1] AS p95, v[len(v) // 2 + 1] AS upper_median FROM v""")
 def e3(spark, sf):
-    return table(spark, sf, "orders").groupBy("o_custkey").agg(agg.nearest_rank(F.col("o_totalprice"), 0.95).alias("p95"), agg.upper_median(F.col("o_totalprice")).alias("upper_median"))
+    return ranks.at_ranks(table(spark, sf, "orders"), ["o_custkey"], "o_totalprice", {"p95": ranks.nearest(0.95), "upper_median": ranks.UPPER_MEDIAN})
+
+
+@query("E3_ranks_by_priority", """WITH v AS (SELECT o_orderpriority, list_sort(list(o_totalprice)) AS v FROM orders GROUP BY o_orderpriority)
+SELECT o_orderpriority, v[(round_even(0.95 * (len(v) - 1), 0))::INT + 1] AS p95, v[len(v) // 2 + 1] AS upper_median FROM v""")
+def e3_priority(spark, sf):
+    """A few groups with a good part of all rows each."""
+    return ranks.at_ranks(table(spark, sf, "orders"), ["o_orderpriority"], "o_totalprice", {"p95": ranks.nearest(0.95), "upper_median": ranks.UPPER_MEDIAN})
 
 
 @query("E5_circular_hours", """WITH h AS (SELECT user_id, avg(sin(a)) AS s, avg(cos(a)) AS c FROM (SELECT user_id, (extract(hour FROM ts) + extract(minute FROM ts) / 60.0::DOUBLE) * (2 * pi() / 24) AS a FROM events) GROUP BY user_id)
