@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waymark.operators import incremental
-from waymark.sources import json_split, timeline
+from waymark.sources import json_split, timeline, tracks
 from waymark.streaming import pings as stream
 
 T = datetime.datetime(2024, 3, 1, 10)
@@ -145,3 +145,16 @@ def test_json_records_of_any_split(spark, tmp_path, block, shape):
     for name, want in files.items():
         own = sorted((json.loads(r["text"]) for r in got if r["file"].endswith(name)), key=lambda r: r["id"])
         assert own == want
+
+
+def test_files_without_a_position_are_named(spark, tmp_path):
+    point = "<Trackpoint><Time>2024-03-01T10:00:0{}Z</Time>{}</Trackpoint>"
+    at = "<Position><LatitudeDegrees>35.1</LatitudeDegrees><LongitudeDegrees>139.2</LongitudeDegrees></Position>"
+    body = lambda *p: '<TrainingCenterDatabase><Activities><Activity Sport="Biking"><Lap><Track>' + "".join(point.format(i, x) for i, x in enumerate(p)) + "</Track></Lap></Activity></Activities></TrainingCenterDatabase>"
+    for name, text in (("good one", body(at, at)), ("indoor", body("", "")), ("empty", "<TrainingCenterDatabase/>")):
+        (tmp_path / f"{name}.tcx").write_text(text)
+    read = tracks.read_tcx(spark, str(tmp_path))
+    assert [(r["mode"], r["mode_source"], r["mode_confidence"]) for r in read["tracks"].collect()] == [("bike", "declared", 0.95)]
+    with pytest.raises(ValueError, match="empty.tcx.*indoor.tcx") as e:
+        tracks.check_positions(spark, str(tmp_path), read)
+    assert "good" not in str(e.value)

@@ -126,7 +126,7 @@ def _point(p, tag):
     return F.concat(F.lit(f'<{tag} lat="'), F.format_string("%.6f", p["lat"]), F.lit('" lon="'), F.format_string("%.6f", p["lon"]), F.lit('"><time>'), p["t"], F.lit(f"</time></{tag}>"))
 
 
-@query("A8_gpx_tracks", f"""WITH {PLAN}, {PLAN_TRACKS} SELECT track_id::VARCHAR AS name, CASE WHEN track_id % 4 = 0 THEN 2 ELSE 1 END * CASE WHEN track_id % 3 = 0 THEN 2 ELSE 1 END AS parts, CASE WHEN track_id % 2 = 0 THEN 'run' ELSE 'unknown' END AS mode  FROM plan_tracks""")
+@query("A8_gpx_tracks", f"""WITH {PLAN}, {PLAN_TRACKS} SELECT track_id::VARCHAR AS name, CASE WHEN track_id % 4 = 0 THEN 2 ELSE 1 END * CASE WHEN track_id % 3 = 0 THEN 2 ELSE 1 END AS parts, CASE WHEN track_id % 2 = 0 THEN 'run' ELSE 'unknown' END AS mode, CASE WHEN track_id % 2 = 0 THEN 0.95::DOUBLE END AS mode_confidence FROM plan_tracks""")
 def a8(spark, sf):
     # Vertices a minute apart; some lines pause for an hour in the middle, some have two segments.
     t = plan_tracks(spark, sf)
@@ -137,10 +137,10 @@ def a8(spark, sf):
     whole = t.groupBy((F.col("user_id") % 16).alias("file")).agg(F.concat(F.lit("<gpx><wpt lat=\"1.5\" lon=\"2.5\"><name>Hut</name></wpt><rte><name>Plan</name></rte>"), F.array_join(F.collect_list(body), ""), F.lit("</gpx>")).alias("value"))
     whole.write.partitionBy("file").text(path)  # a document each
     got = tracks.read_gpx(spark, path)["tracks"]
-    return got.groupBy("name", "mode").agg(F.count("*").cast("int").alias("parts"))
+    return got.groupBy("name", "mode", "mode_confidence").agg(F.count("*").cast("int").alias("parts"))
 
 
-@query("A9_tcx_tracks", f"WITH {PLAN}, {PLAN_TRACKS} SELECT count(*) AS tracks, 7 AS vertices, 'bike' AS mode  FROM plan_tracks")
+@query("A9_tcx_tracks", f"WITH {PLAN}, {PLAN_TRACKS} SELECT count(*) AS tracks, 7 AS vertices, 'bike' AS mode, 0.95::DOUBLE AS mode_confidence FROM plan_tracks")
 def a9(spark, sf):
     t = plan_tracks(spark, sf)
     at = F.col("start")
@@ -149,8 +149,9 @@ def a9(spark, sf):
     path = new_path(spark, "tcx")
     whole = F.concat(F.lit("<TrainingCenterDatabase><Activities>"), F.array_join(F.collect_list(body), ""), F.lit("</Activities></TrainingCenterDatabase>"))
     t.groupBy((F.col("user_id") % 16).alias("file")).agg(whole.alias("value")).write.partitionBy("file").text(path)
-    got = tracks.read_tcx(spark, path)["tracks"]
-    return got.groupBy(F.size("points").alias("vertices"), "mode").agg(F.count("*").alias("tracks"))
+    read = tracks.read_tcx(spark, path)
+    tracks.check_positions(spark, path, read)
+    return read["tracks"].groupBy(F.size("points").alias("vertices"), "mode", "mode_confidence").agg(F.count("*").alias("tracks"))
 
 
 @query("A10_photo_meta", f"WITH {PLAN}, {PLAN_PHOTOS} SELECT photo_id FROM plan_photos WHERE photo_id % 5 = 0 OR day BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'")
