@@ -26,6 +26,9 @@ if b and d are similar and d isn't to the centre, D(b) and D(d) have more than
 |D(b)| less a quarter of |b| at the least whatever the centre. A prefix of D(b), those first that
 no member of another component has, then the rarest, that leaves out fewer than b must share
 meets that of every partner that is still to be found. All shingles count, whatever a text's length.
+Of a pair one has the lesser |D| - k size, and both must share as many as that at the least; so its
+prefix may be the shorter one that leaves out fewer, and a bucket in which nobody's shorter prefix meets
+is no bucket.
 Not covered are texts with the same shingles in another order, which the
 alignment parts: they only count as compared with the centre here.
 """
@@ -276,12 +279,12 @@ def _added(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
 
 
 def _mixed(seats: DataFrame, comp: DataFrame) -> DataFrame:
-    """Seats (node, bucket) with comp and size, of buckets with nodes that aren't known to be linked; of those with the same members only one."""
+    """Seats (node, bucket) with comp and size, of buckets with nodes that aren't known to be linked, one of them by its shorter prefix; of those with the same members only one."""
     seats = seats.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     sums = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")]
-    sizes = seats.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"), *sums).where("low < high")
+    sizes = seats.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.bool_or("lesser").alias("lesser"), *sums).where("low < high and lesser")
     sizes = sizes.groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
-    return seats.join(sizes, "bucket")
+    return seats.drop("lesser").join(sizes, "bucket")
 
 
 def _grouped(many: DataFrame, first: bool) -> DataFrame:
@@ -307,7 +310,7 @@ def _members(spark: SparkSession, members: DataFrame, texts: DataFrame) -> DataF
 
 
 def _keys(members: DataFrame, centres: DataFrame, comp: DataFrame, similarity: float) -> DataFrame:
-    """node, bucket: the keys of the members (but the centre) of groups in which not all are known to be linked: prefixes of their differences from what is common.
+    """node, bucket, lesser (of the shorter prefix): the keys of the members (but the centre) of groups in which not all are known to be linked: prefixes of their differences from what is common.
 
     A difference that only members share which are known to be linked is of no
     use, and no partner that is still to be found has it.
@@ -323,14 +326,16 @@ def _keys(members: DataFrame, centres: DataFrame, comp: DataFrame, similarity: f
     shared = each.drop("comp").join(mixed, ["group", "x", "side"]).groupBy("group", "node").agg(F.collect_list(F.struct("n", "x", "side")).alias("shared"))
     m = m.select("group", "node", "m", "comp", "comp_a", "x_a", "m_a", (F.size("own") + F.size("lacks")).alias("d")).join(shared, ["group", "node"])
     k = (1 - similarity) / (1 + similarity)
-    least = F.greatest(F.lit(1), F.col("d") - F.floor((1 - similarity) / similarity * F.col("m") + 1e-9))
-    # A partner of one that is linked with the centre isn't linked with it.
-    far = F.floor((F.col("d") - F.col("x_a") - k * (F.col("m") - F.col("m_a"))) / 2 - 1e-9) + 1
-    least = F.when(F.col("comp") == F.col("comp_a"), F.greatest(least, far)).otherwise(least)
+    score, score_a = F.col("d") - k * F.col("m"), F.col("x_a") - k * F.col("m_a")
+    # A partner of one that is linked with the centre isn't linked with it; no partner's score is below the centre's.
+    other = F.when(F.col("comp") == F.col("comp_a"), F.abs(score_a)).otherwise(score_a)
+    least = F.greatest(F.lit(1), F.col("d") - F.floor((1 - similarity) / similarity * F.col("m") + 1e-9), F.ceil((score + other) / 2 - 1e-9))
     # What no other component has comes first in every prefix.
-    left = F.col("d") - least + 1 - (F.col("d") - F.size("shared"))
+    left = F.size("shared") - least + 1
+    shorter = F.size("shared") - F.greatest(least, F.ceil(score - 1e-9)) + 1
     rarest = F.slice(F.sort_array("shared"), F.lit(1), F.greatest(F.lit(0), left).cast("int"))
-    return m.select("node", F.explode(F.transform(rarest, lambda k: F.xxhash64("group", k["x"], k["side"]))).alias("bucket"))
+    keys = F.transform(rarest, lambda k, i: F.struct(F.xxhash64("group", k["x"], k["side"]).alias("bucket"), (i < F.col("shorter")).alias("lesser")))
+    return m.withColumn("shorter", shorter).select("node", F.explode(keys).alias("key")).select("node", "key.bucket", "key.lesser")
 
 
 def _unlinked(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -358,7 +363,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", s
     texts = tried = None
     folder = scratch(spark, "rounds")
     comp = spark.createDataFrame([], "node long, comp long")
-    seats = nodes.select("node", F.explode("keys").alias("bucket"))
+    seats = nodes.select("node", F.explode("keys").alias("bucket"), F.lit(True).alias("lesser"))
     while True:
         seats = stage(spark, _mixed(seats, comp), "seats")
         if not seats.take(1):
@@ -371,7 +376,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", s
         pairs = few.withColumnRenamed("node", "a").join(other, "bucket").where("a < b and comp != comp_b").select("a", "b")
         members = None
         if many.take(1):
-            members = _members(spark, _grouped(many, first), texts)
+            members = _members(spark, stage(spark, _grouped(many, first), "grouped"), texts)
             differs = F.size("own") + F.size("lacks")
             best = F.min(F.struct((differs - (1 - similarity) / (1 + similarity) * F.col("m")).alias("far"), F.xxhash64("node").alias("tie"), F.col("node").alias("a"), differs.alias("x_a"), F.col("m").alias("m_a"))).alias("c")
             centres = stage(spark, members.groupBy("group").agg(best).select("group", "c.a", "c.x_a", "c.m_a"), "centres")
