@@ -189,3 +189,21 @@ def test_stages(spark, folder):
             break
         assert out.columns == columns
         before, docs = len(rows), spark.createDataFrame(rows, docs.schema)
+
+
+def test_stages_on_odd_tables(spark, folder):
+    """Columns named as the operators' own come back as they were; a very long text and an empty table pass every stage."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 60 or doc_id >= 500 or doc_id is null")
+    long = spark.createDataFrame([(9000, " ".join(f"w{i}" for i in range(150_000)), "en", "s9", 0)], docs.schema)
+    own = ["score", "node", "h", "size", "label", "item_id", "key", "keep", "text_hash", "f", "x", "a.b"]
+    odd = docs.union(long).select("*", *[F.concat_ws("-", F.lit(c), "doc_id").alias(c) for c in own])
+    for name, f in corpus_pipeline.STAGES:
+        out = f(spark, odd, folder)
+        rows = out.collect()
+        if name == "token ids":
+            assert len(rows) == odd.count()
+        else:
+            assert out.columns == odd.columns and rows
+            assert all(r[c] == (c if r["doc_id"] is None else f"{c}-{r['doc_id']}") for r in rows for c in own), name
+            assert name == "mixing sources" or 9000 in {r["doc_id"] for r in rows}, name
+        assert f(spark, odd.limit(0), folder).count() == 0, name

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter
@@ -21,10 +22,11 @@ def test_statistics(spark):
     texts = [None, "", " \n ", "a", "a b", "a b c", "a b c a b c", "a a a a", "x\ny\nx\n\n \nx", "a\r\na\r\n", "w " * 60_000, " ".join(map(str, range(70_000)))]
     texts += ["".join(rnd.choice(parts) + rnd.choice(["", " ", " "]) for _ in range(rnd.randint(0, 200))) for _ in range(400)]
     rows = [(i, t, 7, "z") for i, t in enumerate(texts)] + [(None, "a b", 7, "z"), (3, "a", 7, "z")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words int, words_ string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words int, got_ string")
     got = rules.judge(docs, []).collect()
     assert len(got) == len(rows)
     for r in got:
+        assert r["got_"] == "z"
         if r["doc_id"] is not None:
             want = plain(texts[r["doc_id"]])
             assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == want, texts[r["doc_id"]]
@@ -45,6 +47,22 @@ def test_covering_finds_conjunctions_and_leaves_good_rows():
     assert rules.learn([]) == [] and rules.learn([r | {"label": 1} for r in sample]) == []
 
 
+def test_every_threshold_is_tried():
+    rnd = random.Random(6)
+    rows = [({f: rnd.choice([0.0, 0.25, rnd.random()]) for f in rules.FEATURES}, int(rnd.random() < 0.3)) for _ in range(300)]
+    rows = [(r, int(y or r["stop_share"] > 0.93)) for r, y in rows]
+    p0 = sum(y for _, y in rows)
+
+    def gain(c):
+        got = [y for r, y in rows if c.holds(r)]
+        return sum(got) * (math.log2(sum(got) / len(got)) - math.log2(p0 / len(rows))) if sum(got) else 0
+
+    every = [rules.Condition(f, above, r[f]) for f in rules.FEATURES for r, _ in rows for above in (True, False)]
+    assert abs(gain(rules._best(rows, p0)) - max(map(gain, every))) < 1e-9
+    near = [({f: 0.1 for f in rules.FEATURES} | {"n_words": x}, y) for x, y in ((1.0, 0), (math.nextafter(1.0, 2), 1))]
+    assert [rules._best(near, 1).holds(r) for r, _ in near] == [False, True]
+
+
 def test_learned_on_tables(spark):
     rnd = random.Random(5)
     say = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9))) for _ in range(n))

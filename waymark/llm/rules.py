@@ -25,8 +25,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 #: Bound of the training sample in documents; least precision of a rule.
 BOUND, PRECISION = 8_000, 0.9
-#: Size of a list that people can still read: thresholds tried for each statistic, rules, conditions of a rule. ``learn`` warns where a list ends by one of the last two.
-CUTS, MOST_RULES, MOST_CONDITIONS = 48, 12, 4
+#: Size of a list that people can still read: rules, conditions of a rule. ``learn`` warns where a list ends by one of them.
+MOST_RULES, MOST_CONDITIONS = 12, 4
 FEATURES = ("n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "stop_share", "distinct_share")
 
 
@@ -71,16 +71,19 @@ def with_statistics(docs: DataFrame) -> DataFrame:
         let(F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)), of_lines).alias("l"),
         *[F.regexp_count(text, F.lit(p)).cast("long").alias(n) for n, p in (("n_symbols", SYMBOLS), ("upper", "[A-Z]"), ("stops", "[.,;:!?]"))],
     )
+    own = "got_"
+    while own in {c.lower() for c in docs.columns}:
+        own += "_"
     # A generator, so that no filter on the statistics is moved below it and computes them again.
-    d = docs.withColumn("got_", F.explode(F.array(got))).drop("text")
-    d = d.withColumns({n: F.col(f"got_.{x}{n}") for x, n in (("w.", "n_words"), ("w.", "word_chars"), ("", "n_symbols"), ("l.", "n_dup_lines"), ("w.", "n_repeat_words"))})
+    d = docs.withColumn(own, F.explode(F.array(got))).drop("text")
+    d = d.withColumns({n: F.col(f"{own}.{x}{n}") for x, n in (("w.", "n_words"), ("w.", "word_chars"), ("", "n_symbols"), ("l.", "n_dup_lines"), ("w.", "n_repeat_words"))})
     chars, count = F.greatest("word_chars", F.lit(1)), F.greatest("n_words", F.lit(1))
     return d.withColumns({
         "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
         "mean_word": F.col("word_chars") / count, "symbol_share": F.col("n_symbols") / chars,
-        "dup_line_share": F.col("n_dup_lines") / F.greatest("got_.l.lines", F.lit(1)), "repeat_share": F.col("n_repeat_words") / count,
-        "upper_share": F.col("got_.upper") / chars, "stop_share": F.col("got_.stops") / chars, "distinct_share": F.col("got_.w.distinct") / count,
-    }).drop("got_")
+        "dup_line_share": F.col("n_dup_lines") / F.greatest(f"{own}.l.lines", F.lit(1)), "repeat_share": F.col("n_repeat_words") / count,
+        "upper_share": F.col(f"{own}.upper") / chars, "stop_share": F.col(f"{own}.stops") / chars, "distinct_share": F.col(f"{own}.w.distinct") / count,
+    }).drop(own)
 
 
 @dataclass(frozen=True)
@@ -99,40 +102,36 @@ class Condition:
         return f"{self.feature} {'>' if self.above else '<='} {self.value:g}"
 
 
-def _cuts(rows: list[dict], cuts: int) -> list[Condition]:
-    out = []
+def _best(rows: list[tuple[dict, int]], p0: int) -> Condition | None:
+    """The condition of the greatest information gain of ``rows`` (``p0`` of them bad): every threshold between two values of a statistic, by one sort and running sums."""
+    before, most, best = math.log2(p0 / len(rows)), 1e-9, None
     for f in FEATURES:
-        values = sorted({r[f] for r in rows})
-        step = max(1, len(values) // cuts)
-        for a, b in zip(values[::step], values[1::step]):
-            out += [Condition(f, above, (a + b) / 2) for above in (True, False)]
-    return out
-
-
-def _grow(rows: list[tuple[dict, int]], conditions: list[Condition], most: int) -> list[Condition]:
+        by = sorted((r[f], y) for r, y in rows)
+        below = 0
+        for i in range(1, len(by)):
+            low, high = by[i - 1][0], by[i][0]
+            below += by[i - 1][1]
+            if low == high:
+                continue
+            for above, p, n in ((True, p0 - below, len(by) - i), (False, below, i)):
+                if p and (gain := p * (math.log2(p / n) - before)) > most:
+                    middle = (low + high) / 2
+                    most, best = gain, Condition(f, above, middle if middle < high else low)
+    return best
+
+
+def _grow(rows: list[tuple[dict, int]], most: int) -> list[Condition]:
     """Conditions added one by one for the greatest information gain, until all rows covered are bad."""
     rule: list[Condition] = []
     while True:
         p0 = sum(y for _, y in rows)
-        if p0 in (0, len(rows)):
-            break
-        before, best = math.log2(p0 / len(rows)), (1e-9, None)
-        for c in conditions:
-            f, above, value = c.feature, c.above, c.value
-            p = n = 0
-            for r, y in rows:
-                if (r[f] > value) == above:
-                    n += 1
-                    p += y
-            if p and (gain := p * (math.log2(p / n) - before)) > best[0]:
-                best = (gain, c)
-        if best[1] is None:
+        if p0 in (0, len(rows)) or (best := _best(rows, p0)) is None:
             break
         if len(rule) == most:
             warnings.warn(f"a rule stops at {most} conditions", stacklevel=2)
             break
-        rule.append(best[1])
-        rows = [(r, y) for r, y in rows if best[1].holds(r)]
+        rule.append(best)
+        rows = [(r, y) for r, y in rows if best.holds(r)]
     return rule
 
 
@@ -142,13 +141,13 @@ def _worth(rule: list[Condition], rows: list[tuple[dict, int]]) -> tuple[float,
     return (sum(got) + 1) / (len(got) + 2), len(got)
 
 
-def learn(sample: list[dict], precision: float = PRECISION, most_rules: int = MOST_RULES, most_conditions: int = MOST_CONDITIONS, cuts: int = CUTS) -> list[list[Condition]]:
+def learn(sample: list[dict], precision: float = PRECISION, most_rules: int = MOST_RULES, most_conditions: int = MOST_CONDITIONS) -> list[list[Condition]]:
     """Rules for bad rows, in order. ``sample``: the statistics, label (1 good), part (0 to 2; 2 prunes)."""
     rows = [(r, 1 - r["label"]) for r in sample]
     grow, prune = [x for x in rows if x[0]["part"] != 2], [x for x in rows if x[0]["part"] == 2]
-    conditions, rules = _cuts([r for r, _ in grow], cuts), []
+    rules = []
     while any(y for _, y in grow):
-        rule = _grow(grow, conditions, most_conditions)
+        rule = _grow(grow, most_conditions)
         # Conditions go from the end while the rule is worth no less without them.
         while len(rule) > 1 and _worth(rule[:-1], prune)[0] >= _worth(rule, prune)[0]:
             rule = rule[:-1]
@@ -187,7 +186,11 @@ def learned_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", ke
 
 
 def judge(docs: DataFrame, rules: list[list[Condition]]) -> DataFrame:
-    """``docs`` with the statistics and ``kept``: what neither the base rule nor a learned one rejects."""
+    """``docs`` without text, with the statistics and ``kept``: what neither the base rule nor a learned one rejects.
+
+    Null, empty and very long texts, repeated rows, an empty table and columns
+    of clashing names are as in ``with_statistics``; a column named kept is replaced.
+    """
     return with_statistics(docs).withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
