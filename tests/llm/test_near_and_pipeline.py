@@ -133,6 +133,46 @@ def test_copies_that_are_cut_short(spark, monkeypatch):
     assert set(got.values()) == {0}
 
 
+def rows_of_joins(spark, on, since=-1):
+    """Rows that joins by these columns made in executions after ``since``, and the last execution."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    seq = lambda s: [s.apply(i) for i in range(s.size())]
+    made, ids = 0, [e.executionId() for e in seq(store.executionsList())]
+    for i in (i for i in ids if i > since):
+        got = store.executionMetrics(i)
+        for node in seq(store.planGraph(i).allNodes()):
+            if "Join" in node.name() and re.search(r"\[" + ", ".join(rf"{c}#\d+L?" for c in on), node.desc()):
+                counts = [m.accumulatorId() for m in seq(node.metrics()) if m.name() == "number of output rows"]
+                made += sum(int(got.apply(c).replace(",", "")) for c in counts if got.contains(c))
+    return made, max(ids, default=-1)
+
+
+def test_what_members_lack_meets_its_count_by_group(spark, monkeypatch):
+    rnd = random.Random(11)
+    base = say(rnd, 300)
+    rows = [(i, changed(rnd, base, rnd.sample(range(300), 30))) for i in range(60)]
+    rows += [(100 + i, changed(rnd, rows[i][1], [150])) for i in range(10)]
+    _, last = rows_of_joins(spark, ["group", "x"])
+    got = classes_of_one_bucket(spark, monkeypatch, [(i, " ".join(w)) for i, w in rows])
+    assert got == {i: i % 100 for i, _ in rows}
+    made, _ = rows_of_joins(spark, ["group", "x"], last)
+    # Of their changed shingles (about 120 of 300 each), what they lack is shared by many, and what they have by copies only.
+    assert 0 < made < 70 * 60
+
+
+def test_members_keep_their_size_and_what_others_have_too(spark):
+    rnd = random.Random(13)
+    base = say(rnd, 60)
+    once = changed(rnd, base, [30])
+    rows = [(i, " ".join(base + [f"tail{i}"])) for i in range(10)] + [(10, " ".join(once)), (11, " ".join(once))]
+    texts = spark.createDataFrame(rows, "node long, text string")
+    got = {r["node"]: r for r in near._members(spark, spark.range(12).selectExpr("7L as `group`", "id as node"), texts).collect()}
+    assert [got[i]["m"] for i in (0, 10)] == [57, 56]
+    assert [got[i]["d"] for i in (0, 10, 11)] == [1, 10, 10] and [len(got[i]["lacks"]) for i in (0, 10, 11)] == [0, 5, 5]
+    assert sorted(got[10]["own"]) == sorted(got[11]["own"]) and len(got[10]["own"]) == 5 and sum(len(got[i]["own"]) for i in range(10)) == 0
+
+
 def test_short_texts(spark):
     rnd = random.Random(9)
     rows = []

@@ -298,34 +298,67 @@ def _grouped(many: DataFrame, first: bool) -> DataFrame:
 
 
 def _members(spark: SparkSession, members: DataFrame, texts: DataFrame) -> DataFrame:
-    """group, node, m (shingles), own and lacks of members (group, node): the shingles that a member has and most haven't, and those that it lacks and most have."""
+    """group, node, m (shingles), d, own and lacks of members (group, node): the shingles that a member has and most haven't, and those that it lacks and most have.
+
+    d counts both. Of own those are left out that no other member of the group
+    has: they're no key, and a bitmap of fixed size tells most of them.
+    """
     wanted = members.groupBy("node").agg(F.collect_list("group").alias("groups"))
     parsed = shingled(texts.join(wanted, "node")).select(F.explode("groups").alias("group"), "node", "xs")
     size = members.groupBy("group").agg(F.count("*").alias("size"))
     parsed = stage(spark, parsed.join(size, "group"), "parsed")
     n = parsed.repartition("group", "node").select("group", "size", F.explode("xs").alias("x")).groupBy("group", "x").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    n = stage(spark, n.where("n > 1"), "counts")
     # They are twice as many as a member has on average at most; a group's other shingles don't meet.
     common = n.where("n * 2 > size").groupBy("group").agg(F.collect_list("x").alias("common"))
+    salt = F.xxhash64("group")
+    bitmap = key_bitmap(n.where("n * 2 <= size").select(F.col("x").bitwiseXOR(salt).alias("h")), "h")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, salts = batch.column(5), batch.column(4).to_numpy()
+            counts = np.diff(own.offsets.to_numpy())
+            xs = own.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            keep = in_bitmap(bitmap, xs ^ np.repeat(salts, counts))
+            ends = np.append(0, np.cumsum(keep))[np.append(0, np.cumsum(counts))]
+            few = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(xs[keep], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), few, batch.column(6)], ["group", "node", "m", "d", "own", "lacks"])
+
     both = parsed.join(common, "group", "left").withColumn("common", F.coalesce("common", F.array().cast("array<long>")))
-    return stage(spark, both.select("group", "node", F.size("xs").alias("m"), F.array_except("xs", "common").alias("own"), F.array_except("common", "xs").alias("lacks")), "members")
+    both = both.select("group", "node", F.size("xs").alias("m"), salt.alias("salt"), F.array_except("xs", "common").alias("own"), F.array_except("common", "xs").alias("lacks"))
+    both = both.select("group", "node", "m", (F.size("own") + F.size("lacks")).alias("d"), "salt", "own", "lacks")
+    return stage(spark, both.mapInArrow(run, "group long, node long, m int, d int, own array<long>, lacks array<long>"), "members")
+
+
+def _mixed_differences(m: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """group, node, x of members' differences of that column; and group, x, n of those that members have which aren't known to be linked."""
+    each = m.select("group", "node", "comp", F.explode(column).alias("x"))
+    mixed = each.groupBy("group", "x").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    return each.drop("comp"), mixed.drop("low", "high")
 
 
 def _keys(members: DataFrame, centres: DataFrame, comp: DataFrame, similarity: float) -> DataFrame:
     """node, bucket, lesser (of the shorter prefix): the keys of the members (but the centre) of groups in which not all are known to be linked: prefixes of their differences from what is common.
 
     A difference that only members share which are known to be linked is of no
-    use, and no partner that is still to be found has it.
+    use, and no partner that is still to be found has it. What members lack is part of what
+    is common, so their counts come as one list a group (above 16 in steps of a quarter power of two, so that it
+    has few parts); only what they have besides meets its count one by one. Any order that a group's members share will do.
     """
     known = centres.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("comp_a")), "a", "left").withColumn("comp_a", F.coalesce("comp_a", "a"))
     m = members.join(known, "group").where("node != a").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     open_ = m.groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("group")
     # Dealt out by member: a large group is in no one task.
     m = m.join(open_, "group").repartition("group", "node")
-    differs = F.concat(F.transform("own", lambda x: F.struct(x.alias("x"), F.lit(0).alias("side"))), F.transform("lacks", lambda x: F.struct(x.alias("x"), F.lit(1).alias("side"))))
-    each = m.select("group", "node", "comp", F.explode(differs).alias("d")).select("group", "node", "comp", "d.x", "d.side")
-    mixed = each.groupBy("group", "x", "side").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").drop("low", "high")
-    shared = each.drop("comp").join(mixed, ["group", "x", "side"]).groupBy("group", "node").agg(F.collect_list(F.struct("n", "x", "side")).alias("shared"))
-    m = m.select("group", "node", "m", "comp", "comp_a", "x_a", "m_a", (F.size("own") + F.size("lacks")).alias("d")).join(shared, ["group", "node"])
+    each, mixed = _mixed_differences(m, "own")
+    has = each.join(mixed, ["group", "x"]).groupBy("group", "node").agg(F.collect_list(F.struct("n", "x", F.lit(0).alias("side"))).alias("has"))
+    _, mixed = _mixed_differences(m, "lacks")
+    about = F.when(F.col("n") > 16, F.floor(F.pow(F.lit(2.0), F.floor(4 * F.log2("n")) / 4))).otherwise(F.col("n")).alias("n")
+    lists = mixed.groupBy("group", about).agg(F.collect_list("x").alias("xs")).groupBy("group").agg(F.collect_list(F.struct("n", "xs")).alias("lists"))
+    m = m.select("group", "node", "m", "d", "lacks", "comp", "comp_a", "x_a", "m_a").join(has, ["group", "node"], "left").join(lists, "group", "left")
+    lacked = F.flatten(F.transform("lists", lambda few: F.transform(F.array_intersect("lacks", few["xs"]), lambda x: F.struct(few["n"].alias("n"), x.alias("x"), F.lit(1).alias("side")))))
+    none = F.array().cast("array<struct<n: bigint, x: bigint, side: int>>")
+    m = m.select("node", "group", "m", "d", "comp", "comp_a", "x_a", "m_a", F.concat(F.coalesce("has", none), F.coalesce(lacked, none)).alias("shared")).where(F.size("shared") > 0)
     k = (1 - similarity) / (1 + similarity)
     score, score_a = F.col("d") - k * F.col("m"), F.col("x_a") - k * F.col("m_a")
     # A partner of one that is linked with the centre isn't linked with it; no partner's score is below the centre's.
@@ -378,8 +411,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", s
         members = None
         if many.take(1):
             members = _members(spark, stage(spark, _grouped(many, first), "grouped"), texts)
-            differs = F.size("own") + F.size("lacks")
-            best = F.min(F.struct((differs - (1 - similarity) / (1 + similarity) * F.col("m")).alias("far"), F.xxhash64("node").alias("tie"), F.col("node").alias("a"), differs.alias("x_a"), F.col("m").alias("m_a"))).alias("c")
+            best = F.min(F.struct((F.col("d") - (1 - similarity) / (1 + similarity) * F.col("m")).alias("far"), F.xxhash64("node").alias("tie"), F.col("node").alias("a"), F.col("d").alias("x_a"), F.col("m").alias("m_a"))).alias("c")
             centres = stage(spark, members.groupBy("group").agg(best).select("group", "c.a", "c.x_a", "c.m_a"), "centres")
             compare = members.select("group", F.col("node").alias("b")).join(centres, "group").where("a != b").select("a", "b")
             pairs = pairs.union(_unlinked(compare, comp))
