@@ -161,6 +161,20 @@ def test_what_members_lack_meets_its_count_by_group(spark, monkeypatch):
     assert 0 < made < 70 * 60
 
 
+def test_pipeline_stage_meets_few_differences(spark, monkeypatch):
+    rnd = random.Random(17)
+    base = say(rnd, 300)
+    rows = [(i, changed(rnd, base, rnd.sample(range(300), 30))) for i in range(60)]
+    rows += [(100 + i, changed(rnd, rows[i][1], [150])) for i in range(10)]
+    docs = spark.createDataFrame([(i, " ".join(w), "en") for i, w in rows], "doc_id long, text string, lang string").repartition(3, "doc_id")
+    real = near.sketches
+    monkeypatch.setattr(near, "sketches", lambda *a: real(*a).withColumn("keys", F.array(F.lit(1).cast("long"))))
+    _, last = rows_of_joins(spark, ["group", "x"])
+    kept = corpus_pipeline.without_near_duplicates(spark, docs, "").collect()
+    made, _ = rows_of_joins(spark, ["group", "x"], last)
+    assert sorted(r["doc_id"] for r in kept) == list(range(60)) and 0 < made < 70 * 60
+
+
 def test_members_keep_their_size_and_what_others_have_too(spark):
     rnd = random.Random(13)
     base = say(rnd, 60)
