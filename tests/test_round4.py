@@ -34,3 +34,31 @@ def test_day_plans_are_reckoned_with_all_their_days(spark, tmp_path, make):
     spark.range(25).select(F.col("id").cast("int").alias("n_nationkey"), F.lit("n").alias("n_name"), (F.col("id") % 5).cast("int").alias("n_regionkey")).write.parquet(f"{tmp_path}/nation.parquet")
     spark.range(5).select(F.col("id").cast("int").alias("r_regionkey"), F.lit("r").alias("r_name")).write.parquet(f"{tmp_path}/region.parquet")
     assert reckoned(make(spark, str(tmp_path))) > 8 * 45 * n
+
+
+def scattered():
+    rnd, rows = random.Random(3), []
+    for u in range(9):
+        lat0, lon0 = rnd.choice([(35.0, 139.0), (60.0, 179.9995), (0.0, 10.0)])
+        for i in range(rnd.randint(3, 80)):
+            lon = lon0 + rnd.random() * 0.008
+            rows.append((u, 1000 * u + i, at(rnd.randrange(10_000)), lat0 + rnd.random() * 0.008, (lon + 180) % 360 - 180))
+    return rows
+
+
+def test_anchors_of_users_of_many_visits_are_those_of_few(spark):
+    v = spark.createDataFrame(scattered(), VISITS)
+    whole, cells, both = ({(r["id"], r["anchor_id"], r["is_core"]) for r in anchors.dbscan(spark, v, 150.0, 3, n).collect()} for n in (4000, 0, 40))
+    assert whole == cells == both and len({x[1] for x in whole}) < len(whole)
+
+
+def test_visits_that_lie_by_user_are_not_shuffled_for_their_anchors(spark):
+    v = spark.createDataFrame(scattered(), VISITS).repartition(4, "user_id").withColumn("name", F.lit("x"))
+    got = anchors.with_anchors(spark, v, 150.0, 3)
+    assert exchanges(got) == 1 and got.columns == [*v.columns, "anchor_id", "is_core"] and got.count() == v.count()
+
+
+def test_a_visit_without_a_position_is_an_anchor_of_its_own(spark):
+    rows = [(1, i, at(i), 35.0, 139.0) for i in range(3)] + [(1, i, at(i), None, None) for i in range(3, 8)]
+    got = {r["id"]: r["anchor_id"] for r in anchors.dbscan(spark, spark.createDataFrame(rows, VISITS), 150.0, 3).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, **{i: i for i in range(3, 8)}}

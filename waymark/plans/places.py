@@ -23,18 +23,18 @@ def once(spark, sf, name, make):
     return _made[key]
 
 
-def _anchored(spark, sf):
+def _found(spark, sf):
     """Places with the anchors that DBSCAN finds for them."""
-    def make():
-        p = plan_places(spark, sf)
-        found = anchors.dbscan(spark, p.withColumnRenamed("place_id", "id"), 150.0, 3)
-        return p.join(found.select("user_id", F.col("id").alias("place_id"), "anchor_id"), ["user_id", "place_id"])
+    return anchors.with_anchors(spark, plan_places(spark, sf).withColumnRenamed("place_id", "id"), 150.0, 3).withColumnRenamed("id", "place_id").drop("is_core")
+
 
-    return once(spark, sf, "anchored", make)
+def _anchored(spark, sf):
+    """These, written for what goes over them again and again."""
+    return once(spark, sf, "anchored", lambda: _found(spark, sf))
 
 
 def _anchors(spark, sf):
-    return anchors.aggregate_anchors(_anchored(spark, sf))
+    return anchors.aggregate_anchors(_found(spark, sf))
 
 
 #: A slot's places are within 150 m of each other and of no other; three or more are one anchor, named by the first.
@@ -98,7 +98,7 @@ def f19(spark, sf):
 
 @query("E15_anchor_ranking", f"""WITH {PLAN_PLACES}, {_ANCHORED} SELECT user_id, anchor_id, count(*) AS visit_count, count(DISTINCT trip_id) AS trips FROM anchored GROUP BY ALL ORDER BY visit_count DESC, user_id, anchor_id LIMIT 100""")
 def e15(spark, sf):
-    p = _anchored(spark, sf)
+    p = _found(spark, sf)
     return anchors.anchor_ranking(anchors.aggregate_anchors(p), p).select("user_id", "anchor_id", "visit_count", "trips")
 
 
@@ -124,7 +124,7 @@ def c13(spark, sf):
 
 @query("C12_inherit_names", f"""WITH {PLAN_PLACES}, {_ANCHORED} SELECT place_id, coalesce(geo_city, CASE WHEN anchor_id % 2 = 0 THEN 'Anchor' || anchor_id END) AS geo_city FROM anchored""")
 def c12(spark, sf):
-    p = written(spark, _anchored(spark, sf).withColumn("geo_name", F.lit(None).cast("string")), "anchored")
+    p = _found(spark, sf).withColumn("geo_name", F.lit(None).cast("string"))
     a = p.select("user_id", "anchor_id").distinct().withColumns({"geo_name": F.lit(None).cast("string"), "geo_country": F.lit(None).cast("string"), "geo_city": F.when(F.col("anchor_id") % 2 == 0, F.concat(F.lit("Anchor"), F.col("anchor_id").cast("string")))})
     return anchors.inherit_names(p, a).select("place_id", "geo_city")
 
