@@ -8,7 +8,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.operators import anchors, graph
+from waymark.functions import geo
+from waymark.operators import anchors, graph, points
 from waymark.plans import QUERIES, fixtures
 
 SF = "/root/testdata/sf0.001"
@@ -78,3 +79,31 @@ def test_documents_of_an_export_are_of_so_many_users_each(spark, name, monkeypat
     assert QUERIES[name](spark, SF).count() > 0
     customers = spark.read.parquet(f"{SF}/customer.parquet").count()
     assert len(glob.glob(made[0].removeprefix("file://") + "/file=*/*.gz")) == customers // 3
+
+
+@pytest.fixture
+def meeting(spark, tmp_path):
+    """Events of which two are of one user, second and place, and so are their pings."""
+    rows = [(11, T0, 3, "view"), (11 + 8 * 11 * 13, T0, 3, "view"), (12, T0, 3, "view"), (17, T0, 4, "click")]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path)
+
+
+def test_pings_of_one_second_and_place_stay_two_where_events_name_them(spark, meeting):
+    p = fixtures.pings(spark, meeting)
+    assert points.first_stored(p, ["event_id", "k"]).count() < p.count()
+    got = [tuple(r) for r in QUERIES["J2_first_stored"](spark, meeting).collect()]
+    assert sorted(got) == sorted(tuple(r) for r in p.select("user_id", "event_id", "k").collect())
+
+
+def test_streamed_pings_of_one_second_and_place_stay_two_where_events_name_them(spark, meeting):
+    got = {r["user_id"]: r["pings"] for r in QUERIES["K1_deduplicated_stream"](spark, meeting).collect()}
+    assert got == {r["user_id"]: r["n"] for r in fixtures.pings(spark, meeting).groupBy("user_id").agg(F.count("*").alias("n")).collect()}
+
+
+def test_first_stored_keeps_the_first_of_a_dedup_key(spark):
+    p = spark.createDataFrame([(1, 5, T0, 1.0, 2.0), (1, 4, T0, 1.000001, 2.0), (2, 1, T0, 1.0, 2.0)], "user_id long, i long, ts timestamp_ntz, lat double, lon double")
+    got = points.first_stored(p, ["i"])
+    assert got.columns == [*p.columns, "dedup_key"] and sorted((r["user_id"], r["i"], r["lat"]) for r in got.collect()) == [(1, 4, 1.000001), (2, 1, 1.0)]
+    key = geo.point_dedup_key(F.col("user_id"), F.col("ts"), F.col("lat"), F.col("lon"))
+    assert got.where(F.col("dedup_key") == key).count() == 2
