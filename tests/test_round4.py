@@ -38,6 +38,8 @@ def test_day_plans_are_reckoned_with_all_their_days(spark, tmp_path, make):
     spark.range(25).select(F.col("id").cast("int").alias("n_nationkey"), F.lit("n").alias("n_name"), (F.col("id") % 5).cast("int").alias("n_regionkey")).write.parquet(f"{tmp_path}/nation.parquet")
     spark.range(5).select(F.col("id").cast("int").alias("r_regionkey"), F.lit("r").alias("r_name")).write.parquet(f"{tmp_path}/region.parquet")
     assert reckoned(make(spark, str(tmp_path))) > 8 * 45 * n
+    # user_id, position, radius and more of three fences for every two users
+    assert reckoned(fixtures.fences(spark, str(tmp_path))) > 64 * 1.5 * n
 
 
 def scattered():
